@@ -4,7 +4,7 @@ Spark splits every text into the pre-tokenizer's words and counts them; each dis
 once; ids return to the places of the words, and decoding joins ids with their pieces.
 
 The table that travels to the tasks holds the ``TABLE_WORDS`` most frequent words of at most ``WORD_BYTES`` bytes, so
-that its size is bounded (2^19 words of 32 bytes and at most 32 ids: 84 MB at the very worst, about 12 MB in practice).
+that its size is bounded (2^18 words of 32 bytes and at most 32 ids: 42 MB at the very worst, about 6 MB in practice).
 Words beyond it are rare; each task encodes the distinct ones of a batch once, in place. A join of those occurrences
 by shuffle would have to move every text beside them.
 
@@ -29,7 +29,7 @@ from quillon.llm import common
 #: The pre-tokenizer's pattern; (?U) gives \s its Unicode meaning.
 PATTERN = r"(?U)'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 SPECIAL = "<|endoftext|>"
-TABLE_WORDS = 1 << 19
+TABLE_WORDS = 1 << 18
 WORD_BYTES = 32
 
 

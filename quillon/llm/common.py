@@ -57,7 +57,14 @@ def drop_table(df: DataFrame) -> None:
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Arrow batches of at most 1,000 rows and about 8 MB, so that a Python worker's memory stays small."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "8388608")
+
+
 def documents(spark: SparkSession, sf_dir: str, name: str = "documents") -> DataFrame:
+    small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -162,7 +169,7 @@ class WordEncoder:
     At most ``limit`` words are held; after that the store starts anew, so memory stays bounded.
     """
 
-    def __init__(self, path: str, plain: bool = False, limit: int = 300_000):
+    def __init__(self, path: str, plain: bool = False, limit: int = 100_000):
         from tokenizers import Tokenizer, normalizers
 
         self.tokenizer = Tokenizer.from_file(path)
