@@ -201,3 +201,11 @@ class WordEncoder:
         at = np.fromiter((rows[w] for w in own), np.int64, len(own))
         starts = np.cumsum(self.sizes, dtype=np.int64) - self.sizes
         return starts[at], self.sizes[at], self.flat
+
+
+def release(spark: SparkSession) -> None:
+    """Lets Spark delete the shuffle files of plans that nothing refers to any more."""
+    import gc
+
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()

@@ -2,10 +2,18 @@
 
 from __future__ import annotations
 
-from quillon.llm import bpe
+from quillon.llm import bpe, langid, neardup, packing, topk, toxicity, urlfilter
 
 QUERIES = {
     "op1_bpe_codec": bpe.op1_bpe_codec,
+    "op2_language_id": langid.op2_language_id,
+    "op4_url_filter": urlfilter.op4_url_filter,
+    "op5_toxicity": toxicity.op5_toxicity,
+    "op7_exact_topk": topk.op7_exact_topk,
+    "op8_best_fit_packing": packing.op8_best_fit_packing,
+    "op9_minhash_near_dedup": neardup.op9_minhash_near_dedup,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op7_exact_topk": topk.ORACLE,
+}
