@@ -10,7 +10,9 @@ Texts with equal sets form one class, which its smallest id stands for; only cla
 copies costs no pairs. In each bucket of a band the smallest class is compared with the others (a star); confirmed
 links join classes into components. Further rounds take another centre, while a bucket still holds several components.
 What then is left, pairs of one bucket in different components, is compared exhaustively, so no link that changes a
-component is passed over: a pair that already is in one component needs no comparison.
+component is passed over: a pair that already is in one component needs no comparison. Before the full sets are
+compared, the sketches are: ``PLANES`` bits of each coordinate tell in how many two sketches agree, and a pair goes where a
+pair at the threshold would have so few with a probability of at most ``MISS``.
 
 Defined results: null or wordless texts have the empty set, are linked with nothing and are kept. Rows with a null id are
 kept, with a null component. Rows that repeat an id are treated like any others. Other columns are ignored. Sets are
@@ -21,10 +23,11 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillon.llm import common
@@ -34,6 +37,8 @@ ROWS = 5
 MISS = 1e-9
 #: Rounds of stars before what is left is compared exhaustively.
 STARS = 3
+#: Bits of each coordinate that are kept to compare sketches.
+PLANES = 4
 EMPTY = np.uint64(0xFFFFFFFFFFFFFFFF)
 
 
@@ -41,6 +46,17 @@ def bands(percent: int, rows: int = ROWS, miss: float = MISS) -> int:
     return math.ceil(math.log(miss) / math.log(1 - (percent / 100) ** rows))
 
 
+def least_agreement(percent: int, t: int, miss: float = MISS) -> int:
+    """Coordinates that a pair at the threshold shares with a probability of at least 1 - miss."""
+    q = percent / 100 + (1 - percent / 100) / 2**PLANES
+    total, c = 0.0, 0
+    while True:
+        total += math.comb(t, c) * q**c * (1 - q) ** (t - c)
+        if total > miss:
+            return c
+        c += 1
+
+
 def shingle_sets(texts: pa.Array, k: int) -> tuple[np.ndarray, np.ndarray]:
     """Where each text's set starts, and the sorted 64-bit hashes of its distinct shingles of k words.
 
@@ -99,8 +115,24 @@ def band_keys(sketch: np.ndarray, rows: int) -> np.ndarray:
     return h.view(np.int64)
 
 
+def planes(sketch: np.ndarray) -> np.ndarray:
+    """PLANES bits of each coordinate, plane after plane, each filled up to whole 64-bit numbers."""
+    n, t = sketch.shape
+    out = np.zeros((n, PLANES, -(-t // 64) * 64), np.uint8)
+    for j in range(PLANES):
+        out[:, j, :t] = sketch >> np.uint64(j) & np.uint64(1)
+    return np.packbits(out, axis=2, bitorder="little").view(np.int64).reshape(n, -1)
+
+
+def agree(a: Column, b: Column, percent: int) -> Column:
+    t = bands(percent) * ROWS
+    words = -(-t // 64)
+    apart = [F.bit_count(reduce(lambda x, y: x.bitwiseOR(y), (a[j * words + i].bitwiseXOR(b[j * words + i]) for j in range(PLANES)))) for i in range(words)]
+    return reduce(lambda x, y: x + y, apart) <= t - least_agreement(percent, t)
+
+
 def sketched(docs: DataFrame, k: int, percent: int) -> DataFrame:
-    """doc_id, n (set size), a and b (128 bits that name the set), keys (of its bands) of each row."""
+    """doc_id, n (set size), a and b (128 bits that name the set), keys (of its bands) and planes of each row."""
     number = bands(percent)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -110,13 +142,15 @@ def sketched(docs: DataFrame, k: int, percent: int) -> DataFrame:
             one, two = (common.segment_sum(common.mix(sets + np.uint64(s)), at).view(np.int64) for s in (1, 2))
             full = np.flatnonzero(size)
             keys: list = [None] * len(size)
+            bits: list = [None] * len(size)
             if len(full):
-                found = band_keys(sketches(np.append(at[full], at[-1]), sets, number * ROWS), ROWS)
-                for row, x in zip(full, found):
-                    keys[row] = x
-            yield pa.RecordBatch.from_arrays([b["doc_id"], pa.array(size.astype(np.int64)), pa.array(one), pa.array(two), pa.array(keys, pa.list_(pa.int64()))], ["doc_id", "n", "a", "b", "keys"])
+                found = sketches(np.append(at[full], at[-1]), sets, number * ROWS)
+                for row, x, y in zip(full, band_keys(found, ROWS), planes(found)):
+                    keys[row], bits[row] = x, y
+            lists = [pa.array(x, pa.list_(pa.int64())) for x in (keys, bits)]
+            yield pa.RecordBatch.from_arrays([b["doc_id"], pa.array(size.astype(np.int64)), pa.array(one), pa.array(two), *lists], ["doc_id", "n", "a", "b", "keys", "planes"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, n long, a long, b long, keys array<long>")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, n long, a long, b long, keys array<long>, planes array<long>")
 
 
 def confirmed(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
@@ -144,7 +178,7 @@ def groups(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     spark = docs.sparkSession
     rows = common.table(sketched(docs, k, percent), "sketches")
     named = rows.where("n > 0 AND doc_id IS NOT NULL")
-    classes = named.groupBy("a", "b", "n").agg(F.min("doc_id").alias("id"), F.first("keys").alias("keys"))
+    classes = named.groupBy("a", "b", "n").agg(F.min("doc_id").alias("id"), F.first("keys").alias("keys"), F.first("planes").alias("planes"))
     members = classes.select("id", F.explode("keys").alias("key"))
     shared = members.groupBy("key").agg(F.min("id").alias("low"), F.max("id").alias("high")).where("low < high")
     hits = common.table(members.join(shared, "key").select("key", "id"), "buckets")
@@ -153,22 +187,24 @@ def groups(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     texts = common.table(docs.select(F.col("doc_id").cast("long").alias("id"), "text").join(wanted, "id", "left_semi").dropDuplicates(["id"]), "texts")
     common.release(spark)
 
+    bits = common.table(classes.select("id", "planes").join(wanted, "id", "left_semi"), "planes")
+    hits = hits.join(bits, "id")
     labels = hits.select("id").limit(0).select("id", F.col("id").alias("component"))
     links = checked = None
     for turn in range(STARS + 1):
-        now = hits.join(labels, "id", "left").select("key", "id", F.coalesce("component", "id").alias("component"))
+        now = hits.join(labels, "id", "left").select("key", "id", "planes", F.coalesce("component", "id").alias("component"))
         mixed = now.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.min_by("id", F.xxhash64("id", F.lit(turn))).alias("any"), F.min("id").alias("least")).where("low < high")
         if turn < STARS:
             centre = F.col("least") if turn == 0 else F.col("any")
             centres = mixed.select("key", centre.alias("centre")).join(labels.withColumnRenamed("id", "centre").withColumnRenamed("component", "at"), "centre", "left")
-            centres = centres.select("key", "centre", F.coalesce("at", "centre").alias("at"))
-            met = now.join(centres, "key").where("component <> at").select(F.least("id", "centre").alias("x"), F.greatest("id", "centre").alias("y"))
+            centres = centres.select("key", "centre", F.coalesce("at", "centre").alias("at")).join(bits.select(F.col("id").alias("centre"), F.col("planes").alias("other_planes")), "centre")
+            met = now.join(centres, (now["key"] == centres["key"]) & (now["component"] != centres["at"]) & agree(now["planes"], centres["other_planes"], percent)).select(F.least("id", "centre").alias("x"), F.greatest("id", "centre").alias("y"))
         else:
             left = now.join(mixed.select("key"), "key", "left_semi")
             sizes = left.groupBy("key", "component").agg(F.count("*").alias("n"))
             main = sizes.groupBy("key").agg(F.max_by("component", F.struct("n", "component")).alias("main"))
-            small = left.join(main, "key").where("component <> main").select("key", F.col("id").alias("other"), F.col("component").alias("of"))
-            met = left.join(small, "key").where("component <> of").select(F.least("id", "other").alias("x"), F.greatest("id", "other").alias("y"))
+            small = left.join(main, "key").where("component <> main").select("key", F.col("id").alias("other"), F.col("component").alias("of"), F.col("planes").alias("other_planes"))
+            met = left.join(small, (left["key"] == small["key"]) & (left["component"] != small["of"]) & agree(left["planes"], small["other_planes"], percent)).select(F.least("id", "other").alias("x"), F.greatest("id", "other").alias("y"))
         pairs = met.distinct()
         if checked is not None:
             pairs = pairs.join(checked, ["x", "y"], "left_anti")

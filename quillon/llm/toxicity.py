@@ -6,7 +6,7 @@ of the class prior. A linear numpy classifier is fitted to the class-prior-corre
     prior * E_pos[loss(+)] + max(0, E_unl[loss(-)] - prior * E_pos[loss(-)])
 
 whose second part, the risk on negatives, cannot be negative; where a step would push it below zero the step is turned
-round. Features are hashed words and word beginnings, counted once for each distinct word of a text.
+round. Features are hashed words and word beginnings: that a text holds one, two or three distinct words of a bucket.
 
 Fitting uses at most ``MOST_POSITIVE`` and about ``MOST_UNLABELLED`` rows, chosen by a hash of doc_id; scoring covers all rows.
 
@@ -27,12 +27,15 @@ from quillon.llm import common
 from quillon.llm.langid import letter_words
 
 BITS = 20
+#: So many distinct words of a bucket are told apart; each number has a range of features of its own.
+LEVELS = 3
+WIDTH = LEVELS << BITS
 BEGINNINGS = (4, 5, 6, 7)
 MOST_POSITIVE = 4096
 MOST_UNLABELLED = 12288
 #: Features in fewer positives than this, or no likelier there by this many standard errors, are left out.
 LEAST_POSITIVE, LEAST_Z = 4, 4.0
-STEPS, RATE, RIDGE = 300, 0.05, 1e-3
+STEPS, RATE, RIDGE = 300, 0.05, 1e-2
 FOLDS = 5
 
 
@@ -62,6 +65,14 @@ def distinct_words(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, pa.Array]:
     return np.searchsorted(pairs, np.arange(len(texts) + 1) * max(len(distinct), 1)), pairs % max(len(distinct), 1), distinct
 
 
+def levelled(rows: np.ndarray, buckets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(row, feature) of every row's buckets (those of -1 left out), each once, in order of rows for each level."""
+    some = buckets >= 0
+    pairs, n = np.unique((rows[some] << BITS) + buckets[some], return_counts=True)
+    each = [pairs[n > k] for k in range(LEVELS)]
+    return np.concatenate([x >> BITS for x in each]), np.concatenate([(x & ((1 << BITS) - 1)) + (k << BITS) for k, x in enumerate(each)])
+
+
 def features(docs: DataFrame) -> DataFrame:
     """positive, features (distinct buckets) of each row."""
 
@@ -69,7 +80,9 @@ def features(docs: DataFrame) -> DataFrame:
         for b in batches:
             at, codes, distinct = distinct_words(common.strings(b["text"]))
             each = word_features(distinct)[codes] if len(codes) else np.zeros((0, 1), np.int64)
-            rows = [np.unique(x[x >= 0]).astype(np.int32) for x in (each[i:j].ravel() for i, j in zip(at[:-1], at[1:]))]
+            row, feature = levelled(np.repeat(np.repeat(np.arange(b.num_rows), np.diff(at)), each.shape[1]), each.ravel())
+            order = np.argsort(row, kind="stable")
+            rows = np.split(feature[order].astype(np.int32), np.searchsorted(row[order], np.arange(1, b.num_rows)))
             yield pa.RecordBatch.from_arrays([b["positive"], pa.array(rows, pa.list_(pa.int32()))], ["positive", "features"])
 
     return docs.select("text", "positive").mapInArrow(run, "positive boolean, features array<int>")
@@ -78,7 +91,7 @@ def features(docs: DataFrame) -> DataFrame:
 def select(rows: list[np.ndarray], positive: np.ndarray) -> np.ndarray:
     """Buckets that mark positives clearly, in order."""
     n_pos, n_unl = max(positive.sum(), 1), max((~positive).sum(), 1)
-    df = [np.bincount(np.concatenate([r for r, p in zip(rows, positive) if p == side] or [np.zeros(0, np.int64)]).astype(np.int64), minlength=1 << BITS) for side in (True, False)]
+    df = [np.bincount(np.concatenate([r for r, p in zip(rows, positive) if p == side] or [np.zeros(0, np.int64)]).astype(np.int64), minlength=WIDTH) for side in (True, False)]
     a, b = df[0] / n_pos, df[1] / n_unl
     both = (df[0] + df[1] + 1) / (n_pos + n_unl + 2)
     z = (a - b) / np.sqrt(both * (1 - both) * (1 / n_pos + 1 / n_unl))
@@ -87,7 +100,7 @@ def select(rows: list[np.ndarray], positive: np.ndarray) -> np.ndarray:
 
 def nn_pu(rows: list[np.ndarray], positive: np.ndarray, prior: float, chosen: np.ndarray) -> tuple[np.ndarray, float]:
     """Weights of the chosen buckets and the intercept, by Adam on the non-negative risk with logistic loss."""
-    place = np.full(1 << BITS, -1, np.int64)
+    place = np.full(WIDTH, -1, np.int64)
     place[chosen] = np.arange(len(chosen))
     cut = [place[r] for r in rows]
     cut = [c[c >= 0] for c in cut]
@@ -112,11 +125,11 @@ def nn_pu(rows: list[np.ndarray], positive: np.ndarray, prior: float, chosen: np
 
 
 def fit(docs: DataFrame, labels: DataFrame) -> np.ndarray:
-    """Weights by bucket, and last the intercept (2^20 + 1 numbers). Learns from rows outside the held-out fold."""
+    """Weights by feature, and last the intercept (3 * 2^20 + 1 numbers). Learns from rows outside the held-out fold."""
     known = labels.where("doc_id IS NOT NULL AND toxic IS NOT NULL").where(common.fold("doc_id", FOLDS) != 0)
     share = known.agg(F.avg((F.col("toxic") == 1).cast("double"))).first()[0] or 0.0
     ids = [r[0] for r in known.where("toxic = 1").select("doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(MOST_POSITIVE).collect()]
-    weights = np.zeros((1 << BITS) + 1, np.float32)
+    weights = np.zeros(WIDTH + 1, np.float32)
     weights[-1] = -40.0
     if not ids:
         return weights
@@ -154,13 +167,13 @@ def predict(docs: DataFrame, weights: np.ndarray) -> DataFrame:
             total = np.full(b.num_rows, w[-1])
             if len(codes):
                 f = word_features(distinct)
-                marks = np.flatnonzero((np.where(f >= 0, w[f], 0) != 0).any(axis=1))  # few words carry any weight
+                any_ = (w[:-1].reshape(LEVELS, -1) != 0).any(axis=0)
+                marks = np.flatnonzero((any_[f] & (f >= 0)).any(axis=1))  # few words carry any weight
                 hit = np.flatnonzero(np.isin(codes, marks))
                 of = np.searchsorted(at, hit, side="right") - 1
                 each = f[codes[hit]]
-                rows = np.repeat(of, each.shape[1])
-                pairs = np.unique((rows * (1 << BITS) + each.ravel())[each.ravel() >= 0])  # a bucket counts once a text
-                total += np.bincount(pairs >> BITS, w[pairs & ((1 << BITS) - 1)], b.num_rows)
+                row, feature = levelled(np.repeat(of, each.shape[1]), each.ravel())
+                total += np.bincount(row, w[feature], b.num_rows)
             p = 1 / (1 + np.exp(-np.clip(total, -40, 40)))
             yield pa.RecordBatch.from_arrays([*(b.column(i) for i in range(b.num_columns)), pa.array(p), pa.array((p >= 0.5).astype(np.int32))], [*b.schema.names, "score", "predicted"])
 
