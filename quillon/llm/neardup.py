@@ -9,10 +9,10 @@ threshold shares no band with probability of at most ``MISS``.
 Texts with equal sets form one class, which its smallest id stands for; only classes are compared, so a large group of
 copies costs no pairs. In each bucket of a band the smallest class is compared with the others (a star); confirmed
 links join classes into components. Further rounds take another centre, while a bucket still holds several components.
-What then is left, pairs of one bucket in different components, is compared exhaustively, so no link that changes a
-component is passed over: a pair that already is in one component needs no comparison. Before the full sets are
-compared, the sketches are: ``PLANES`` bits of each coordinate tell in how many two sketches agree, and a pair goes where a
-pair at the threshold would have so few with a probability of at most ``MISS``.
+What then is left, pairs of one bucket in different components, is compared exhaustively in tiles of a bucket, so no link
+that changes a component is passed over: a pair that already is in one component needs no comparison. Tiles compare
+``LONG`` coordinates of longer sketches, ``PLANES`` bits of each, and hand on, once for all buckets, the pairs that agree in as
+many as a pair at the threshold does with a probability of all but ``MISS``; their full sets are compared.
 
 Defined results: null or wordless texts have the empty set, are linked with nothing and are kept. Rows with a null id are
 kept, with a null component. Rows that repeat an id are treated like any others. Other columns are ignored. Sets are
@@ -23,11 +23,10 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillon.llm import common
@@ -37,8 +36,10 @@ ROWS = 5
 MISS = 1e-9
 #: Rounds of stars before what is left is compared exhaustively.
 STARS = 3
-#: Bits of each coordinate that are kept to compare sketches.
-PLANES = 4
+#: Coordinates of the longer sketches, and the bits of each that are kept.
+LONG, PLANES = 2048, 2
+#: Classes of a tile's side.
+TILE = 512
 EMPTY = np.uint64(0xFFFFFFFFFFFFFFFF)
 
 
@@ -51,7 +52,7 @@ def least_agreement(percent: int, t: int, miss: float = MISS) -> int:
     q = percent / 100 + (1 - percent / 100) / 2**PLANES
     total, c = 0.0, 0
     while True:
-        total += math.comb(t, c) * q**c * (1 - q) ** (t - c)
+        total += math.exp(math.lgamma(t + 1) - math.lgamma(c + 1) - math.lgamma(t - c + 1) + c * math.log(q) + (t - c) * math.log(1 - q))
         if total > miss:
             return c
         c += 1
@@ -124,15 +125,8 @@ def planes(sketch: np.ndarray) -> np.ndarray:
     return np.packbits(out, axis=2, bitorder="little").view(np.int64).reshape(n, -1)
 
 
-def agree(a: Column, b: Column, percent: int) -> Column:
-    t = bands(percent) * ROWS
-    words = -(-t // 64)
-    apart = [F.bit_count(reduce(lambda x, y: x.bitwiseOR(y), (a[j * words + i].bitwiseXOR(b[j * words + i]) for j in range(PLANES)))) for i in range(words)]
-    return reduce(lambda x, y: x + y, apart) <= t - least_agreement(percent, t)
-
-
 def sketched(docs: DataFrame, k: int, percent: int) -> DataFrame:
-    """doc_id, n (set size), a and b (128 bits that name the set), keys (of its bands) and planes of each row."""
+    """doc_id, n (set size), a and b (128 bits that name the set), keys (of its bands) of each row."""
     number = bands(percent)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -142,15 +136,13 @@ def sketched(docs: DataFrame, k: int, percent: int) -> DataFrame:
             one, two = (common.segment_sum(common.mix(sets + np.uint64(s)), at).view(np.int64) for s in (1, 2))
             full = np.flatnonzero(size)
             keys: list = [None] * len(size)
-            bits: list = [None] * len(size)
             if len(full):
-                found = sketches(np.append(at[full], at[-1]), sets, number * ROWS)
-                for row, x, y in zip(full, band_keys(found, ROWS), planes(found)):
-                    keys[row], bits[row] = x, y
-            lists = [pa.array(x, pa.list_(pa.int64())) for x in (keys, bits)]
-            yield pa.RecordBatch.from_arrays([b["doc_id"], pa.array(size.astype(np.int64)), pa.array(one), pa.array(two), *lists], ["doc_id", "n", "a", "b", "keys", "planes"])
+                found = band_keys(sketches(np.append(at[full], at[-1]), sets, number * ROWS), ROWS)
+                for row, x in zip(full, found):
+                    keys[row] = x
+            yield pa.RecordBatch.from_arrays([b["doc_id"], pa.array(size.astype(np.int64)), pa.array(one), pa.array(two), pa.array(keys, pa.list_(pa.int64()))], ["doc_id", "n", "a", "b", "keys"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, n long, a long, b long, keys array<long>, planes array<long>")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, n long, a long, b long, keys array<long>")
 
 
 def confirmed(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
@@ -173,12 +165,66 @@ def confirmed(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> DataF
     return with_y.select("x", "y", "text_x", "text_y").mapInArrow(run, "x long, y long")
 
 
+def profiles(texts: DataFrame, k: int, percent: int) -> DataFrame:
+    """id, keys (of its bands), planes (of its longer sketch) of texts with words."""
+    number = bands(percent)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for b in (whole.slice(i, 100) for i in range(0, whole.num_rows, 100)):
+                at, sets = shingle_sets(common.strings(b["text"]), k)
+                keys, bits = band_keys(sketches(at, sets, number * ROWS), ROWS), planes(sketches(at, sets, LONG))
+                yield pa.RecordBatch.from_arrays([b["id"], *(pa.array(list(x), pa.list_(pa.int64())) for x in (keys, bits))], ["id", "keys", "planes"])
+
+    return texts.select("id", "text").mapInArrow(run, "id long, keys array<long>, planes array<long>")
+
+
+def tiled(left: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
+    """Pairs (x, y) of one bucket and different components whose longer sketches agree enough; left: key, id, component.
+
+    In each bucket only pairs without the component that is largest there, or with one side of it, are looked at: the
+    others are pairs within that component.
+    """
+    sizes = left.groupBy("key", "component").agg(F.count("*").alias("n"))
+    mains = sizes.groupBy("key").agg(F.max_by("component", F.struct("n", "component")).alias("main"), F.sum("n").alias("all"), (F.sum("n") - F.max("n")).alias("few"))
+    rows = left.join(mains, "key")
+    side = lambda n: F.ceil(F.col(n) / TILE).cast("int")
+    own = lambda n: F.pmod(F.xxhash64("id"), side(n)).cast("int")
+    each = lambda n: F.explode(F.sequence(F.lit(0), side(n) - 1))
+    one = rows.where("component <> main").select("key", "id", "component", "main", F.lit(True).alias("small"), own("few").alias("s"), each("all").alias("t"))
+    two = rows.select("key", "id", "component", "main", F.lit(False).alias("small"), own("all").alias("t"), each("few").alias("s"))
+    about = common.table(profiles(texts.join(left.select("id").distinct(), "id", "left_semi"), k, percent), "profiles")
+    most = LONG - least_agreement(percent, LONG)
+
+    def run(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        t = pa.Table.from_batches(list(batches)).combine_chunks()
+        ids, component, small = (t[c].to_numpy() for c in ("id", "component", "small"))
+        main = t["main"][0].as_py()
+        keys, bits = (t[c].combine_chunks().flatten().to_numpy().reshape(len(ids), -1) for c in ("keys", "planes"))
+        bits = bits.view(np.uint64).reshape(len(ids), PLANES, -1)
+        others = np.flatnonzero(~small)
+        x, y = [], []
+        for i in np.flatnonzero(small):
+            near = others[(component[others] != component[i]) & ((component[others] == main) | (ids[others] > ids[i]))]
+            apart = np.bitwise_count(np.bitwise_or.reduce(bits[near] ^ bits[i], axis=1)).sum(axis=1, dtype=np.int64)
+            near = near[apart <= most]
+            if len(near):  # a pair is handed on by the least of the buckets that hold both
+                shared = np.where(keys[near] == keys[i], keys[near], np.iinfo(np.int64).max).min(axis=1)
+                near = near[shared == key[0].as_py()]
+                x.append(np.full(len(near), ids[i]))
+                y.append(ids[near])
+        x, y = (np.concatenate(v) if v else np.zeros(0, np.int64) for v in (x, y))
+        yield pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y))], ["x", "y"])
+
+    return one.unionByName(two).join(about, "id").groupBy("key", "s", "t").applyInArrow(run, "x long, y long")
+
+
 def groups(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     """doc_id, n_shingles, component_id, kept of every row."""
     spark = docs.sparkSession
     rows = common.table(sketched(docs, k, percent), "sketches")
     named = rows.where("n > 0 AND doc_id IS NOT NULL")
-    classes = named.groupBy("a", "b", "n").agg(F.min("doc_id").alias("id"), F.first("keys").alias("keys"), F.first("planes").alias("planes"))
+    classes = named.groupBy("a", "b", "n").agg(F.min("doc_id").alias("id"), F.first("keys").alias("keys"))
     members = classes.select("id", F.explode("keys").alias("key"))
     shared = members.groupBy("key").agg(F.min("id").alias("low"), F.max("id").alias("high")).where("low < high")
     hits = common.table(members.join(shared, "key").select("key", "id"), "buckets")
@@ -187,24 +233,18 @@ def groups(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     texts = common.table(docs.select(F.col("doc_id").cast("long").alias("id"), "text").join(wanted, "id", "left_semi").dropDuplicates(["id"]), "texts")
     common.release(spark)
 
-    bits = common.table(classes.select("id", "planes").join(wanted, "id", "left_semi"), "planes")
-    hits = hits.join(bits, "id")
     labels = hits.select("id").limit(0).select("id", F.col("id").alias("component"))
     links = checked = None
     for turn in range(STARS + 1):
-        now = hits.join(labels, "id", "left").select("key", "id", "planes", F.coalesce("component", "id").alias("component"))
+        now = hits.join(labels, "id", "left").select("key", "id", F.coalesce("component", "id").alias("component"))
         mixed = now.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.min_by("id", F.xxhash64("id", F.lit(turn))).alias("any"), F.min("id").alias("least")).where("low < high")
         if turn < STARS:
             centre = F.col("least") if turn == 0 else F.col("any")
             centres = mixed.select("key", centre.alias("centre")).join(labels.withColumnRenamed("id", "centre").withColumnRenamed("component", "at"), "centre", "left")
-            centres = centres.select("key", "centre", F.coalesce("at", "centre").alias("at")).join(bits.select(F.col("id").alias("centre"), F.col("planes").alias("other_planes")), "centre")
-            met = now.join(centres, (now["key"] == centres["key"]) & (now["component"] != centres["at"]) & agree(now["planes"], centres["other_planes"], percent)).select(F.least("id", "centre").alias("x"), F.greatest("id", "centre").alias("y"))
+            centres = centres.select("key", "centre", F.coalesce("at", "centre").alias("at"))
+            met = now.join(centres, "key").where("component <> at").select(F.least("id", "centre").alias("x"), F.greatest("id", "centre").alias("y"))
         else:
-            left = now.join(mixed.select("key"), "key", "left_semi")
-            sizes = left.groupBy("key", "component").agg(F.count("*").alias("n"))
-            main = sizes.groupBy("key").agg(F.max_by("component", F.struct("n", "component")).alias("main"))
-            small = left.join(main, "key").where("component <> main").select("key", F.col("id").alias("other"), F.col("component").alias("of"), F.col("planes").alias("other_planes"))
-            met = left.join(small, (left["key"] == small["key"]) & (left["component"] != small["of"]) & agree(left["planes"], small["other_planes"], percent)).select(F.least("id", "other").alias("x"), F.greatest("id", "other").alias("y"))
+            met = tiled(now.join(mixed.select("key"), "key", "left_semi"), texts, k, percent)
         pairs = met.distinct()
         if checked is not None:
             pairs = pairs.join(checked, ["x", "y"], "left_anti")

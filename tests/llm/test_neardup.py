@@ -97,6 +97,23 @@ def test_sketches_estimate_similarity_and_fill():
     assert abs((s[0] == s[1]).mean() - 1500 / 2500) < 0.08
 
 
+def test_tiles_find_what_stars_miss(spark, monkeypatch):
+    rnd = random.Random(4)
+    base = ["b%d" % i for i in range(150)]
+    rows = []
+    for i in range(120):  # each far from the base, some near to one another
+        w = list(base)
+        for p in rnd.sample(range(150), 6):
+            w[p] = "e%d" % i
+        rows.append((2 * i, " ".join(w)))
+        w[rnd.randrange(150)] = "f"
+        rows.append((2 * i + 1, " ".join(w)))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    monkeypatch.setattr(neardup, "STARS", 0)
+    monkeypatch.setattr(neardup, "TILE", 32)
+    assert got(neardup.groups(df, 3, 85)) == brute(rows, 3, 85)
+
+
 def test_whole_table(spark, sf):
     rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").collect()]
     assert got(neardup.op9_minhash_near_dedup(spark, sf)) == brute(rows, 3, 85)
