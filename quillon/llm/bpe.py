@@ -54,7 +54,7 @@ def word_table(tokens: DataFrame, path: str) -> DataFrame:
     counts = tokens.select(F.explode("words").alias("word")).groupBy("word").agg(F.count("*").alias("n"))
 
     def encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = common.WordEncoder(path)
+        encoder = common.word_encoder(path)
         for b in batches:
             starts, sizes, flat = encoder(common.strings(b["word"]))
             data = flat[common.gather(starts, sizes)].astype("<u4")
@@ -87,7 +87,7 @@ class _Coder:
     """Encodes batches of word lists with the sent table, and a task's own store for words beyond it."""
 
     def __init__(self, path: str, words: pa.Array, ends: np.ndarray, ids: np.ndarray):
-        self.own, self.words = common.WordEncoder(path), words
+        self.own, self.words = common.word_encoder(path), words
         self.starts, self.sizes, self.ids = ends[:-1], np.diff(ends), ids
 
     def __call__(self, lists: pa.Array) -> tuple[np.ndarray, np.ndarray]:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import functools
+import json
 import os
 import tempfile
 import uuid
@@ -163,21 +165,41 @@ def string_array(data: np.ndarray, offsets: np.ndarray) -> pa.Array:
     return pa.LargeStringArray.from_buffers(len(offsets) - 1, pa.py_buffer(offsets.astype(np.int64)), pa.py_buffer(np.ascontiguousarray(data)))
 
 
+@functools.lru_cache(maxsize=4)
+def tokenizer(path: str, plain: bool = False):
+    """The public tokenizer, loaded once by each worker process; plain: without its normaliser."""
+    from tokenizers import Tokenizer, normalizers
+
+    own = Tokenizer.from_file(path)
+    own.no_padding()
+    own.no_truncation()
+    if plain:
+        own.normalizer = normalizers.Sequence([])
+    return own
+
+
+@functools.lru_cache(maxsize=4)
+def word_encoder(path: str, plain: bool = False) -> WordEncoder:
+    """The worker process's own store of encoded words."""
+    return WordEncoder(path, plain)
+
+
 class WordEncoder:
-    """Ids of words by a public tokenizer; each word that is new to this task is encoded once.
+    """Ids of words by a public tokenizer; each word that is new to this process is encoded once.
 
-    At most ``limit`` words are held; after that the store starts anew, so memory stays bounded.
+    At most ``limit`` words are held; after that the store starts anew, so memory stays bounded. A tokenizer that marks
+    the ends of words encodes many words, none with white space in it, as one text.
     """
 
-    def __init__(self, path: str, plain: bool = False, limit: int = 100_000):
-        from tokenizers import Tokenizer, normalizers
-
-        self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.no_padding()
-        self.tokenizer.no_truncation()
-        if plain:  # the words were normalised before
-            self.tokenizer.normalizer = normalizers.Sequence([])
+    def __init__(self, path: str, plain: bool = False, limit: int = 400_000):
+        self.tokenizer = tokenizer(path, plain)
         self.batch = getattr(self.tokenizer, "encode_batch_fast", self.tokenizer.encode_batch)
+        with open(path, encoding="utf-8") as f:
+            model = json.load(f)["model"]
+        mark = model.get("end_of_word_suffix")
+        self.ends = np.zeros(max(model["vocab"].values()) + 1, bool) if mark else None
+        for w, i in model["vocab"].items() if mark else ():
+            self.ends[i] = w.endswith(mark)
         self.limit = limit
         self.clear()
 
@@ -185,6 +207,16 @@ class WordEncoder:
         self.rows: dict[str, int] = {}
         self.sizes, self.flat = np.zeros(0, np.int32), np.zeros(0, np.uint32)
 
+    def encode(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Sizes and ids of the words."""
+        if self.ends is None:
+            ids = [e.ids for e in self.batch(words, add_special_tokens=False)]
+            return np.fromiter(map(len, ids), np.int32, len(ids)), np.fromiter((i for x in ids for i in x), np.uint32)
+        own = self.batch([" ".join(words[i : i + 128]) for i in range(0, len(words), 128)], add_special_tokens=False)
+        flat = np.concatenate([np.asarray(e.ids, np.uint32) for e in own])
+        last = np.flatnonzero(self.ends[flat])
+        return np.diff(last, prepend=-1).astype(np.int32), flat
+
     def __call__(self, values: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Of each value the start and size of its ids, and the ids of all."""
         own = values.to_pylist()
@@ -193,12 +225,10 @@ class WordEncoder:
         rows = self.rows
         new = [w for w in own if w not in rows]
         if new:
-            ids = [e.ids for e in self.batch(new, add_special_tokens=False)]
-            for w in new:
-                rows[w] = len(rows)
-            self.sizes = np.append(self.sizes, np.fromiter(map(len, ids), np.int32, len(ids)))
-            self.flat = np.append(self.flat, np.fromiter((i for x in ids for i in x), np.uint32))
-        at = np.fromiter((rows[w] for w in own), np.int64, len(own))
+            sizes, flat = self.encode(new)
+            rows.update(zip(new, range(len(rows), len(rows) + len(new))))
+            self.sizes, self.flat = np.append(self.sizes, sizes), np.append(self.flat, flat)
+        at = np.fromiter(map(rows.__getitem__, own), np.int64, len(own))
         starts = np.cumsum(self.sizes, dtype=np.int64) - self.sizes
         return starts[at], self.sizes[at], self.flat
 

@@ -96,8 +96,7 @@ def pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, end: int = END)
     rows = docs.select("doc_id", F.when(simple, F.regexp_extract_all(F.lower(text), F.lit(PATTERN), F.lit(0))).alias("words"), F.when(~simple, text).alias("raw"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = common.WordEncoder(path, plain=True)
-        whole = common.WordEncoder(path, limit=0)
+        encoder = common.word_encoder(path, plain=True)
         for b in batches:
             lists = b["words"]
             plain = lists.is_valid().to_numpy(zero_copy_only=False)
@@ -112,7 +111,7 @@ def pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, end: int = END)
             for row, i, j in zip(np.flatnonzero(plain), at[:-1], at[1:]):
                 ids[row] = data[4 * i : 4 * j]
             for row in np.flatnonzero(~plain):
-                ids[row] = np.asarray(whole.tokenizer.encode(b["raw"][int(row)].as_py(), add_special_tokens=False).ids, "<u4").tobytes()
+                ids[row] = np.asarray(common.tokenizer(path).encode(b["raw"][int(row)].as_py(), add_special_tokens=False).ids, "<u4").tobytes()
             last = np.asarray([end], "<u4").tobytes()
             out = []
             for row, x in enumerate(ids):
