@@ -55,7 +55,7 @@ def word_table(tokens: DataFrame, path: str) -> DataFrame:
 
     def encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = common.word_encoder(path)
-        for b in batches:
+        for b in common.lean(batches):
             starts, sizes, flat = encoder(common.strings(b["word"]))
             data = flat[common.gather(starts, sizes)].astype("<u4")
             ends = np.concatenate(([0], np.cumsum(sizes, dtype=np.int64) * 4)).astype(np.int32)
@@ -127,7 +127,7 @@ def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = _Coder(path, *sent.value)
-        for b in batches:
+        for b in common.lean(batches):
             o, ids = coder(b["words"])
             out = pa.ListArray.from_arrays(pa.array(o.astype(np.int32)), pa.array(ids.astype(np.int32)))
             yield pa.RecordBatch.from_arrays([b["doc_id"], out], ["doc_id", "ids"])
@@ -170,7 +170,7 @@ def digests(docs: DataFrame, path: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = _Coder(path, *sent.value)
         at, data = parts.value
-        for b in batches:
+        for b in common.lean(batches):
             o, ids = coder(b["words"])
             raw = ids.astype("<u4").tobytes()
             sha = [hashlib.sha256(raw[4 * i : 4 * j]).hexdigest() for i, j in zip(o[:-1], o[1:])]

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import functools
 import json
 import os
@@ -74,6 +75,17 @@ def broadcast_value(spark: SparkSession, value):
     return spark.sparkContext.broadcast(value)
 
 
+def lean(batches):
+    """The batches; memory of one goes back to the system before the next comes."""
+    pa.set_memory_pool(pa.system_memory_pool())
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    for b in batches:
+        yield b
+        del b
+        if trim:
+            trim(0)
+
+
 # --- vectorised text handling in Arrow batches -------------------------------------------------------------------
 
 
@@ -191,7 +203,7 @@ class WordEncoder:
     the ends of words encodes many words, none with white space in it, as one text.
     """
 
-    def __init__(self, path: str, plain: bool = False, limit: int = 400_000):
+    def __init__(self, path: str, plain: bool = False, limit: int = 150_000):
         self.tokenizer = tokenizer(path, plain)
         self.batch = getattr(self.tokenizer, "encode_batch_fast", self.tokenizer.encode_batch)
         with open(path, encoding="utf-8") as f:

@@ -97,7 +97,7 @@ def pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, end: int = END)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = common.word_encoder(path, plain=True)
-        for b in batches:
+        for b in common.lean(batches):
             lists = b["words"]
             plain = lists.is_valid().to_numpy(zero_copy_only=False)
             dense = lists.filter(pa.array(plain))
