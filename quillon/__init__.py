@@ -1,0 +1 @@
+"""Spark-native record linkage and corpus preparation."""

@@ -1,0 +1,242 @@
+"""From scored pairs to matches: thresholds, a margin rule, caps for each source, exclusive ownership.
+
+Scored pairs have q, r, p and, where it matters, label and country_key. Ties in p go to the smaller candidate id.
+"""
+
+from __future__ import annotations
+
+from dataclasses import dataclass, field, replace
+
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.window import Window
+
+NO_CAP = 1_000_000
+
+
+@dataclass(frozen=True)
+class Params:
+    """t_first and t_rest are tested for each pair on its own; a country's own thresholds replace them."""
+
+    t_first: float = 0.8
+    t_rest: float = 0.8
+    relative: float = 0.0
+    margin_min: float = 0.0
+    ambiguous: str = "top1"
+    cap_s2: int = NO_CAP
+    cap_s3: int = NO_CAP
+    exclusive: bool = False
+    floor: float = 0.0
+    country: dict[str, tuple[float, float]] = field(default_factory=dict)
+
+    def row(self, **more) -> dict:
+        return {k: getattr(self, k) for k in ("t_first", "t_rest", "relative", "margin_min", "ambiguous", "cap_s2", "cap_s3", "exclusive")} | more
+
+
+STAGE_ONE = Params(cap_s2=5, cap_s3=6, exclusive=True)
+STAGE_TWO = Params(t_first=0.5, t_rest=0.725, floor=0.02, country={"france": (0.65, 0.725)})
+
+
+def prepare(pairs: DataFrame, floor: float = 0.0) -> DataFrame:
+    """Drops pairs under the floor; adds rank (from 0), best, second (0: there is none) and source_rank (from 0)."""
+    source = F.substring("r", 1, 2)
+    order = Window.partitionBy("q").orderBy(F.desc("p"), "r")
+    whole = order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    return pairs.where(F.col("p") >= floor).withColumns({
+        "rank": F.row_number().over(order) - 1, "best": F.first("p").over(whole), "second": F.coalesce(F.nth_value("p", 2).over(whole), F.lit(0.0)),
+        "source_rank": F.row_number().over(Window.partitionBy("q", source).orderBy(F.desc("p"), "r")) - 1,
+    })
+
+
+def thresholds(params: Params, country: Column) -> tuple[Column, Column]:
+    first, rest = F.lit(params.t_first), F.lit(params.t_rest)
+    for name, (a, b) in params.country.items():
+        first, rest = F.when(country == name, a).otherwise(first), F.when(country == name, b).otherwise(rest)
+    return first, rest
+
+
+def kept(first: Column, rest: Column, relative: Column, margin: Column, ambiguous: Column, cap_s2: Column, cap_s3: Column) -> Column:
+    """The rules that look at one S1 alone, in their order."""
+    top = F.col("rank") == 0
+    passes = F.when(top, F.col("p") >= first).otherwise((F.col("p") >= rest) & (F.col("p") >= relative * F.col("best")))
+    unclear = (margin > 0) & (F.col("best") - F.col("second") < margin)
+    clear = ~unclear | ((ambiguous == "top1") & top)
+    return passes & clear & (F.col("source_rank") < F.when(F.substring("r", 1, 2) == "S2", cap_s2).otherwise(cap_s3))
+
+
+def exclusive(df: DataFrame, *group: str) -> DataFrame:
+    """Of the selected pairs of a candidate the likeliest stays; nobody moves up in its place."""
+    order = Window.partitionBy(*group, "r").orderBy(F.desc("selected"), F.desc("p"), "q")
+    return df.withColumn("selected", F.col("selected") & (F.row_number().over(order) == 1))
+
+
+def select(ranked: DataFrame, params: Params = STAGE_ONE) -> DataFrame:
+    """Adds selected to what prepare() gives."""
+    country = F.col("country_key") if "country_key" in ranked.columns else F.lit("")
+    first, rest = thresholds(params, country)
+    out = ranked.withColumn("selected", kept(first, rest, F.lit(params.relative), F.lit(params.margin_min), F.lit(params.ambiguous), F.lit(params.cap_s2), F.lit(params.cap_s3)))
+    return exclusive(out) if params.exclusive else out
+
+
+def decide(pairs: DataFrame, params: Params = STAGE_ONE) -> DataFrame:
+    """q, r of all matches. Without a margin rule pairs under every threshold go before the windows."""
+    least = min([params.t_first, params.t_rest, *(t for x in params.country.values() for t in x)])
+    floor = params.floor if params.margin_min > 0 else max(params.floor, least)
+    return select(prepare(pairs, floor), params).where("selected").select("q", "r")
+
+
+def f_beta(precision: Column, recall: Column, beta: float = 0.5) -> Column:
+    b = beta * beta
+    return F.coalesce(F.try_divide((1 + b) * precision * recall, b * precision + recall), F.lit(0.0))
+
+
+def outcomes(selected: DataFrame, truth_counts: DataFrame, *group: str) -> DataFrame:
+    """q, n_pred, tp, num_truth, precision, recall, f05 of every S1 of truth_counts (q, num_truth)."""
+    hits = selected.where("selected").groupBy(*group, "q").agg(F.count("*").alias("n_pred"), F.count_if(F.col("label") == 1).alias("tp"))
+    base = truth_counts
+    if group:
+        base = selected.select(*group).distinct().crossJoin(truth_counts)
+    rows = base.join(hits, [*group, "q"], "left").fillna(0, ["n_pred", "tp"])
+    empty, none = F.col("num_truth") == 0, F.col("n_pred") == 0
+    precision = F.when(none, F.when(empty, 1.0).otherwise(0.0)).otherwise(F.col("tp") / F.greatest(F.col("n_pred"), F.lit(1)))
+    recall = F.when(empty, none.cast("double")).otherwise(F.col("tp") / F.greatest(F.col("num_truth"), F.lit(1)))
+    rows = rows.withColumns({"precision": precision, "recall": recall})
+    return rows.withColumn("f05", F.when(empty, none.cast("double")).otherwise(f_beta(F.col("precision"), F.col("recall"))))
+
+
+def score(entities: DataFrame, *group: str) -> DataFrame:
+    """Means over entities: macro F0.5, precision and recall, of all, of those without truth and of those with it."""
+    of = lambda c, name: F.round(F.avg(F.when(c, F.col("f05"))), 6).alias(name)
+    return entities.groupBy(*group).agg(
+        F.round(F.avg("f05"), 6).alias("macro_f05"), F.round(F.avg("precision"), 6).alias("macro_precision"), F.round(F.avg("recall"), 6).alias("macro_recall"),
+        of(F.col("num_truth") == 0, "empty_truth_f05"), of(F.col("num_truth") > 0, "matched_f05"), F.round(F.avg("n_pred"), 6).alias("mean_predicted"),
+    )
+
+
+def grid(spark: SparkSession, params: list[Params]) -> DataFrame:
+    """A table of parameters, one row each, numbered by g."""
+    return spark.createDataFrame([p.row(g=i) for i, p in enumerate(params)], "g int, t_first double, t_rest double, relative double, margin_min double, ambiguous string, cap_s2 int, cap_s3 int, exclusive boolean")
+
+
+def evaluate_grid(ranked: DataFrame, truth_counts: DataFrame, params: list[Params]) -> DataFrame:
+    """score() of every parameter row in one job: each pair meets the grid once (grids are of a few hundred rows)."""
+    p = grid(ranked.sparkSession, params)
+    rows = ranked.crossJoin(F.broadcast(p))
+    rows = rows.withColumn("selected", kept(*(F.col(c) for c in ("t_first", "t_rest", "relative", "margin_min", "ambiguous", "cap_s2", "cap_s3"))))
+    order = Window.partitionBy("g", "r").orderBy(F.desc("selected"), F.desc("p"), "q")
+    rows = rows.where("selected").withColumn("selected", ~F.col("exclusive") | (F.row_number().over(order) == 1)).where("selected")
+    hits = rows.groupBy("g", "q").agg(F.count("*").alias("n_pred"), F.count_if(F.col("label") == 1).alias("tp")).join(truth_counts, "q")
+    per = hits.select("g", "tp", "n_pred", "num_truth", F.when(F.col("num_truth") == 0, 0.0).otherwise(f_beta(F.col("tp") / F.col("n_pred"), F.col("tp") / F.greatest(F.col("num_truth"), F.lit(1)))).alias("f05"))
+    sums = per.groupBy("g").agg(F.sum("f05").alias("f"), F.count_if(F.col("num_truth") == 0).alias("wrong"), F.sum("n_pred").alias("predicted"), F.sum("tp").alias("tp"))
+    total = truth_counts.agg(F.count("*").alias("n"), F.count_if(F.col("num_truth") == 0).alias("empty"))
+    out = p.join(sums, "g", "left").fillna(0, ["f", "wrong", "predicted", "tp"]).crossJoin(F.broadcast(total))
+    return out.select(*p.columns, F.round((F.col("f") + F.col("empty") - F.col("wrong")) / F.col("n"), 6).alias("macro_f05"), F.round(F.col("predicted") / F.col("n"), 6).alias("mean_predicted"), F.col("tp").cast("long").alias("tp"))
+
+
+#: The thresholds of the sweep.
+SWEEP = tuple(round(0.5 + 0.05 * i, 3) for i in range(8)) + tuple(round(0.9 + 0.001 * i, 3) for i in range(100))
+
+
+def sweep(ranked: DataFrame, truth_counts: DataFrame, values=SWEEP, base: Params = Params()) -> DataFrame:
+    """One threshold for both: threshold, macro_f05, mean_predicted, tp."""
+    out = evaluate_grid(ranked, truth_counts, [replace(base, t_first=t, t_rest=t) for t in values])
+    return out.select(F.col("t_first").alias("threshold"), "macro_f05", "mean_predicted", "tp")
+
+
+def plateau(table: DataFrame, tolerance: float = 5e-4) -> DataFrame:
+    """The best point of a sweep (the lowest of equals), and the span of thresholds within the tolerance of it."""
+    best = table.agg(F.max("macro_f05").alias("best_f05"))
+    near = table.crossJoin(F.broadcast(best)).where(F.col("macro_f05") >= F.col("best_f05") - tolerance)
+    return near.agg(F.max("best_f05").alias("best_f05"), F.min(F.when(F.col("macro_f05") == F.col("best_f05"), F.col("threshold"))).alias("best_threshold"), F.min("threshold").alias("low"), F.max("threshold").alias("high"), F.count("*").alias("points"))
+
+
+FAMILIES = ("global", "first_rest", "relative", "margin", "caps", "exclusive", "country")
+#: The grids of the search.
+GRID = tuple(round(0.5 + 0.05 * i, 3) for i in range(8)) + tuple(round(0.9 + 0.005 * i, 3) for i in range(20)) + (0.999,)
+MARGINS, RELATIVES, CAPS = (0.01, 0.02, 0.05, 0.1, 0.2), (0.5, 0.6, 0.7, 0.8, 0.9, 0.95), (1, 2, 3, 4, 5, 6, 8)
+
+
+def family(name: str, p: Params, countries=()) -> list[Params]:
+    """The parameters that a family tries from p on."""
+    if name == "global":
+        return [replace(p, t_first=t, t_rest=t) for t in GRID]
+    if name == "first_rest":
+        return [replace(p, t_first=a, t_rest=b) for a in GRID for b in GRID if b >= a]
+    if name == "relative":
+        return [replace(p, relative=r) for r in RELATIVES]
+    if name == "margin":
+        return [replace(p, margin_min=m, ambiguous=a) for m in MARGINS for a in ("top1", "none")]
+    if name == "caps":
+        return [replace(p, cap_s2=a, cap_s3=b) for a in CAPS for b in CAPS]
+    if name == "exclusive":
+        return [replace(p, exclusive=True)]
+    return []
+
+
+def tune(ranked: DataFrame, truth_counts: DataFrame, families=FAMILIES, start: Params = Params(), countries=()) -> tuple[Params, list[tuple[str, float]]]:
+    """Greedy search: each family is one job over its grid; a step is kept where it gains. Returns parameters and a log."""
+    first = lambda ps, r=ranked, t=truth_counts: evaluate_grid(r, t, ps).orderBy(F.desc("macro_f05"), "g").first()
+    best, log = start, []
+    value = first([best]).macro_f05
+    for name in families:
+        if name == "country":
+            for c in countries:
+                part, counts = ranked.where(F.col("country_key") == c), truth_counts.where(F.col("country_key") == c)
+                now = first([best], part, counts).macro_f05
+                options = family("global", best)
+                top = first(options, part, counts)
+                if top.macro_f05 > now:
+                    best = replace(best, country=best.country | {c: (top.t_first, top.t_rest)})
+                    log.append((f"country {c}", top.macro_f05))
+            continue
+        options = family(name, best)
+        top = first(options)
+        if top.macro_f05 > value:
+            best, value = options[top.g], top.macro_f05
+        log.append((name, value))
+    return best, log
+
+
+def fold(key: Column, salt: str, folds: int) -> Column:
+    """A stable fold: the first 8 hex digits of md5(salt + key), modulo folds."""
+    return (F.conv(F.substring(F.md5(F.concat(F.lit(salt), key)), 1, 8), 16, 10).cast("long") % folds).cast("int")
+
+
+def cross_fit(ranked: DataFrame, truth_counts: DataFrame, families=("global", "first_rest"), salt: str = "fit") -> DataFrame:
+    """fold, macro_f05: parameters tuned on one half of the S1, scored on the other."""
+    out = []
+    for k in (0, 1):
+        part = lambda d, own: d.where((fold(F.col("q"), salt, 2) == k) == own)
+        params, _ = tune(part(ranked, False), part(truth_counts, False), families)
+        row = evaluate_grid(part(ranked, True), part(truth_counts, True), [params]).first()
+        out.append((k, row.macro_f05, row.t_first, row.t_rest))
+    return ranked.sparkSession.createDataFrame(out, "fold int, macro_f05 double, t_first double, t_rest double")
+
+
+def stability(ranked: DataFrame, truth_counts: DataFrame, params: Params, nudges=(-0.02, -0.01, -0.005, 0.0, 0.005, 0.01, 0.02)) -> DataFrame:
+    """nudge, macro_f05: both thresholds moved a little."""
+    out = evaluate_grid(ranked, truth_counts, [replace(params, t_first=params.t_first + d, t_rest=params.t_rest + d) for d in nudges])
+    names = ranked.sparkSession.createDataFrame(list(enumerate(nudges)), "g int, nudge double")
+    return out.join(F.broadcast(names), "g").select("nudge", "macro_f05", "tp")
+
+
+def confidence(ranked: DataFrame) -> DataFrame:
+    """q, top, second and third probability, margins between them, and the top less the mean of the rest."""
+    at = lambda k: F.coalesce(F.max(F.when(F.col("rank") == k, F.col("p"))), F.lit(0.0))
+    out = ranked.groupBy("q").agg(at(0).alias("top"), at(1).alias("second"), at(2).alias("third"), F.coalesce(F.avg(F.when(F.col("rank") > 0, F.col("p"))), F.lit(0.0)).alias("rest"))
+    return out.select("q", "top", "second", "third", (F.col("top") - F.col("second")).alias("top_second_margin"), (F.col("top") - F.col("third")).alias("top_third_margin"), F.try_divide("top", "second").alias("top_over_second"), (F.col("top") - F.col("rest")).alias("top_minus_mean_rest"))
+
+
+def decision_types(selected: DataFrame, strong: float = 0.2) -> DataFrame:
+    """q, decision: none, one or several matches, and whether kept and rejected pairs lie clearly apart."""
+    s = F.col("selected")
+    rows = selected.groupBy("q").agg(F.count_if(s).alias("n"), F.min(F.when(s, F.col("p"))).alias("low"), F.coalesce(F.max(F.when(~s, F.col("p"))), F.lit(0.0)).alias("high"))
+    clear = F.when(F.col("low") - F.col("high") >= strong, "STRONG").otherwise("AMBIGUOUS")
+    return rows.select("q", F.when(F.col("n") == 0, "NO_MATCH").otherwise(F.concat(F.when(F.col("n") == 1, "SINGLE_").otherwise("MULTI_"), clear)).alias("decision"))
+
+
+def ownership(pairs: DataFrame) -> DataFrame:
+    """p replaced by its odds over one and all odds of the S1 that compete for the candidate."""
+    p = F.least(F.greatest(F.col("p"), F.lit(1e-6)), F.lit(1 - 1e-6))
+    odds = p / (1 - p)
+    return pairs.withColumn("p", odds / (1 + F.sum(odds).over(Window.partitionBy("r"))))
