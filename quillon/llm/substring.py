@@ -103,14 +103,15 @@ def cut(docs: DataFrame, wanted: DataFrame, window: int) -> DataFrame:
             start = o[row] + of.field("start").to_numpy()
             size = of.field("number").to_numpy().astype(np.int64) + window - 1
             word = common.gather(start, size)
-            ends = np.concatenate(([0], np.cumsum(size)))
-            width = at[word + 1] - at[word]
-            letters = data[common.gather(at[word], width)]
-            inner = pa.LargeStringArray.from_buffers(len(word), pa.py_buffer(np.concatenate(([0], np.cumsum(width)))), pa.py_buffer(letters)).cast(pa.string())
-            words = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), inner)
-            yield pa.RecordBatch.from_arrays([of.field("anchor"), of.field("content"), of.field("number"), of.field("parts"), b["doc_id"].take(pa.array(row)), words], ["anchor", "content", "number", "parts", "owner", "words"])
+            width = at[word + 1] - at[word] + 1
+            ends = np.concatenate(([0], np.cumsum(width)))
+            letters = np.full(ends[-1], 32, np.uint8)
+            letters[common.gather(ends[:-1], width - 1)] = data[common.gather(at[word], width - 1)]
+            cuts = np.concatenate(([0], np.cumsum(size)))
+            words = common.string_array(letters, ends[cuts])
+            yield pa.RecordBatch.from_arrays([of.field("anchor"), of.field("content"), of.field("number"), of.field("parts"), b["doc_id"].take(pa.array(row)), words.cast(pa.string())], ["anchor", "content", "number", "parts", "owner", "words"])
 
-    return docs.join(lists, ["doc_id", "mark"]).select("doc_id", "text", "of").mapInArrow(run, "anchor long, content long, number int, parts int, owner long, words array<string>")
+    return docs.join(lists, ["doc_id", "mark"]).select("doc_id", "text", "of").mapInArrow(run, "anchor long, content long, number int, parts int, owner long, words string")
 
 
 def searched(texts: DataFrame, shards: int, window: int) -> DataFrame:
@@ -124,10 +125,9 @@ def searched(texts: DataFrame, shards: int, window: int) -> DataFrame:
             return
         t = pa.Table.from_batches(held).combine_chunks()
         del held
-        words = t["words"].combine_chunks()
-        offsets = words.offsets.to_numpy().astype(np.int64)
-        codes, distinct = common.coded(words.values.slice(offsets[0], offsets[-1] - offsets[0]))
-        offsets, owner = offsets - offsets[0], t["owner"].to_numpy()
+        offsets, words = common.split_words(common.strings(t["words"]))
+        codes, _ = common.coded(words)
+        owner = t["owner"].to_numpy()
         group, own = np.unique(np.stack((t["anchor"].to_numpy(), t["part"].to_numpy().astype(np.int64))), axis=1, return_inverse=True)[1], t["own"].to_numpy().astype(bool)
         # groups of a shard share an index, up to its size; different anchors have no window in common
         order = np.argsort(group.ravel(), kind="stable")
@@ -166,7 +166,8 @@ def repeated(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFra
     spark = docs.sparkSession
     found = common.table(occurrences(docs, window, min(gram, window)), "segments")
     twice = found.groupBy("anchor").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low < high").select("anchor")
-    found = common.table(found.join(twice, "anchor"), "candidates")
+    every, found = found, common.table(found.join(twice, "anchor"), "candidates")
+    common.drop_table(every)
     common.release(spark)
     once = found.groupBy("anchor", "content", "number").agg(F.min(F.struct("doc_id", "mark", "start")).alias("at"))
     parts = once.groupBy("anchor").agg(F.ceil(F.count("*") / GROUP).cast("int").alias("parts"))
