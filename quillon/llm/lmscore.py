@@ -82,7 +82,7 @@ def counted(docs: DataFrame, bits: int) -> DataFrame:
         numbers = numbers.astype(np.uint32)
         few = np.minimum(numbers, 255).astype(np.uint8)
         rows = [[values[cuts[k] : cuts[k + 1]].tobytes() for k in own], [few[cuts[k] : cuts[k + 1]].tobytes() for k in own], [(n := numbers[cuts[k] : cuts[k + 1]])[n >= 255].tobytes() for k in own]]
-        yield pa.RecordBatch.from_arrays([pa.array([pair] * len(own)), pa.array(own, pa.int32()), *(pa.array(r, pa.binary()) for r in rows)], ["pair", "bucket", "grams", "few", "many"])
+        yield pa.RecordBatch.from_arrays([pa.array([pair] * len(own), pa.bool_()), pa.array(own, pa.int32()), *(pa.array(r, pa.binary()) for r in rows)], ["pair", "bucket", "grams", "few", "many"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         one, two, n = [], [], 0
