@@ -42,7 +42,8 @@ def number_block(queries: DataFrame, reference: DataFrame, view: str = "address_
 def bag(df: DataFrame, views: Sequence[str | Column]) -> DataFrame:
     """entity_id, country_key, token: distinct tokens, marked with the place of their view so that fields never cross."""
     cols = [F.col(v) if isinstance(v, str) else v for v in views]
-    marked = [F.transform(tx.tokens(c), lambda t, i=i: F.concat(F.lit(f"{i}:"), t)) for i, c in enumerate(cols)]
+    mark = lambda i: lambda t: F.concat(F.lit(f"{i}:"), t)
+    marked = [F.transform(tx.tokens(c), mark(i)) for i, c in enumerate(cols)]
     return df.select("entity_id", "country_key", F.explode(F.array_distinct(F.concat(*marked))).alias("token"))
 
 
@@ -66,7 +67,8 @@ def idf_top_k(queries: DataFrame, reference: DataFrame, views: Sequence[str | Co
 def char_ngrams(df: DataFrame, view: str, sizes: tuple[int, int] = (3, 4)) -> DataFrame:
     """entity_id, country_key, token, tf: character n-grams inside words, each with a space at both ends."""
     word = F.concat(F.lit(" "), F.col("w"), F.lit(" "))
-    grams = [F.when(F.length(word) >= n, F.transform(F.sequence(F.lit(1), F.length(word) - n + 1), lambda i, n=n: word.substr(i, F.lit(n)))).otherwise(F.array().cast("array<string>")) for n in range(sizes[0], sizes[1] + 1)]
+    gram = lambda n: lambda i: word.substr(i, F.lit(n))
+    grams = [F.when(F.length(word) >= n, F.transform(F.sequence(F.lit(1), F.length(word) - n + 1), gram(n))).otherwise(F.array().cast("array<string>")) for n in range(sizes[0], sizes[1] + 1)]
     rows = df.select("entity_id", "country_key", F.explode(tx.tokens(F.col(view))).alias("w"))
     rows = rows.select("entity_id", "country_key", F.explode(F.concat(*grams)).alias("token"))
     return rows.groupBy("entity_id", "country_key", "token").agg(F.count("*").alias("tf"))

@@ -185,7 +185,7 @@ def correlated_pairs(df: DataFrame, columns: Sequence[str], least: float = 0.95)
     """a, b, r of features whose Pearson correlation reaches the limit; missing counts as -1. All sums in one pass."""
     x = {c: F.coalesce(F.col(c).cast("double"), F.lit(-1.0)) for c in columns}
     pairs = [(a, b) for i, a in enumerate(columns) for b in columns[i + 1 :]]
-    wide = df.agg(*(F.corr(x[a], x[b]).alias(f"{i}") for i, (a, b) in enumerate(pairs)))
+    wide = df.agg(*(F.try_divide(F.covar_pop(x[a], x[b]), F.stddev_pop(x[a]) * F.stddev_pop(x[b])).alias(f"{i}") for i, (a, b) in enumerate(pairs)))
     out = wide.select(F.explode(F.array(*(F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.round(F.col(f"{i}"), 6).alias("r")) for i, (a, b) in enumerate(pairs)))).alias("x")).select("x.*")
     return out.where(F.abs("r") >= least)
 
