@@ -130,7 +130,7 @@ def sketched(docs: DataFrame, k: int, percent: int) -> DataFrame:
     number = bands(percent)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in common.lean(batches):
             at, sets = shingle_sets(common.strings(b["text"]), k)
             size = np.diff(at)
             one, two = (common.segment_sum(common.mix(sets + np.uint64(s)), at).view(np.int64) for s in (1, 2))
@@ -149,7 +149,7 @@ def confirmed(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> DataF
     """Those of the pairs (x, y) whose full sets reach the threshold."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in common.lean(batches):
             (p, s), (q, r) = (shingle_sets(common.strings(b[c]), k) for c in ("text_x", "text_y"))
             row = np.concatenate((np.repeat(np.arange(b.num_rows), np.diff(p)), np.repeat(np.arange(b.num_rows), np.diff(q))))
             h = np.concatenate((s, r))
@@ -170,7 +170,7 @@ def profiles(texts: DataFrame, k: int, percent: int) -> DataFrame:
     number = bands(percent)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
+        for whole in common.lean(batches):
             for b in (whole.slice(i, 100) for i in range(0, whole.num_rows, 100)):
                 at, sets = shingle_sets(common.strings(b["text"]), k)
                 keys, bits = band_keys(sketches(at, sets, number * ROWS), ROWS), planes(sketches(at, sets, LONG))
