@@ -66,8 +66,15 @@ def word_table(tokens: DataFrame, path: str) -> DataFrame:
 
 
 def frequent(table: DataFrame, most: int = TABLE_WORDS, word_bytes: int = WORD_BYTES) -> pa.Table:
-    """The bounded part of the word table that is sent to all tasks."""
-    return table.where(F.octet_length("word") <= word_bytes).orderBy(F.desc("n"), "word").limit(most).select("word", "ids").toArrow()
+    """The bounded part of the word table that is sent to all tasks: words from the count on that ``most`` words reach."""
+    short = table.where(F.octet_length("word") <= word_bytes)
+    least, held = None, 0
+    for n, words in sorted((tuple(r) for r in short.groupBy("n").agg(F.count("*")).collect()), reverse=True):
+        held += words
+        if held > most:
+            break
+        least = n
+    return short.where(F.col("n") >= least if least else F.lit(False)).select("word", "ids").toArrow()
 
 
 def pieces(path: str) -> tuple[np.ndarray, np.ndarray]:
@@ -123,7 +130,7 @@ def _sent(spark: SparkSession, table: pa.Table):
 def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, ids (array of int) of every text."""
     tokens = split(docs, id_col, text_col)
-    sent = _sent(docs.sparkSession, frequent(word_table(tokens, path)))
+    sent = _sent(docs.sparkSession, frequent(common.table(word_table(tokens, path), "words")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = _Coder(path, *sent.value)
@@ -164,7 +171,7 @@ def digests(docs: DataFrame, path: str) -> DataFrame:
     """Encodes and decodes every text in one pass over the word lists: doc_id, n_tokens, ids_sha256, decoded_sha256."""
     spark = docs.sparkSession
     tokens = split(docs)
-    sent = _sent(spark, frequent(word_table(tokens, path)))
+    sent = _sent(spark, frequent(common.table(word_table(tokens, path), "words")))
     parts = common.broadcast_value(spark, pieces(path))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

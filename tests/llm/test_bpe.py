@@ -35,7 +35,7 @@ def test_table_and_rare_words_agree(spark):
     df = spark.createDataFrame([(1, "one two two three"), (2, "two five")], "doc_id long, text string")
     table = bpe.word_table(bpe.split(df), PATH)
     assert {r.word: r.n for r in table.collect()} == {"one": 1, " two": 2, " three": 1, "two": 1, " five": 1}
-    assert bpe.frequent(table, most=1).num_rows == 1
+    assert bpe.frequent(table, most=1)["word"].to_pylist() == [" two"] and bpe.frequent(table, most=4).num_rows == 1 and bpe.frequent(table).num_rows == 5
 
 
 def test_empty_table(spark):
