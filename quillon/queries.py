@@ -104,8 +104,13 @@ def selected(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decision.select(ranked(spark, sf_dir), CAPPED)
 
 
-def entities(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return decision.outcomes(selected(spark, sf_dir), truth_counts(spark, sf_dir))
+def entities(spark: SparkSession, sf_dir: str, chosen: DataFrame | None = None) -> DataFrame:
+    return decision.outcomes(chosen if chosen is not None else selected(spark, sf_dir), truth_counts(spark, sf_dir))
+
+
+def once(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """selected(), held while one query reads it several times."""
+    return selected(spark, sf_dir).persist()
 
 
 # --- the same in SQL ----------------------------------------------------------------------------------------------
@@ -631,7 +636,7 @@ def _(spark, sf):
 
 @query("reproduced", f"WITH {S} SELECT 0 AS only_one, 0 AS only_other, count(*) AS both, 0.0 AS max_difference FROM lab")
 def _(spark, sf):
-    rows = evidence(spark, sf).select("q", "r", "p")
+    rows = evidence(spark, sf).select("q", "r", "p").persist()
     return evaluation.reproduced(rows, rows.repartition(3, "r"))
 
 
@@ -649,10 +654,11 @@ def _(spark, sf):
 # --- what went wrong ----------------------------------------------------------------------------------------------
 
 
-def missed(spark, sf):
+def missed(spark, sf, chosen=None):
     """True pairs with what is known of them."""
+    chosen = chosen if chosen is not None else selected(spark, sf)
     cols = ("p", "selected", "name_token_set_ratio", "address_token_set_ratio", "address_missing_cand", "name_cand_non_latin", "number_conflict")
-    rows = truth(spark, sf).join(selected(spark, sf).select("q", "r", *cols), ["q", "r"], "left")
+    rows = truth(spark, sf).join(chosen.select("q", "r", *cols), ["q", "r"], "left")
     return rows.withColumns({"retrieved": F.col("p").isNotNull(), "selected": F.coalesce("selected", F.lit(False))})
 
 
@@ -675,7 +681,8 @@ def _(spark, sf):
 
 @query("fp_taxonomy", f"WITH {X} SELECT q, r, category FROM fp")
 def _(spark, sf):
-    return analysis.false_positives(selected(spark, sf), entities(spark, sf)).select("q", "r", "category")
+    s = once(spark, sf)
+    return analysis.false_positives(s, entities(spark, sf, s)).select("q", "r", "category")
 
 
 @query("error_taxonomy", f"""
@@ -685,13 +692,14 @@ WITH {X}, t AS (
   UNION ALL SELECT 'false_negative', 'FN_BLOCKING' FROM fn WHERE stage = 'NOT_RETRIEVED')
 SELECT kind, category, count(*) AS pairs, round(count(*) / sum(count(*)) OVER (PARTITION BY kind), 4) AS share_of_kind FROM t GROUP BY 1, 2""")
 def _(spark, sf):
-    s = selected(spark, sf)
-    return analysis.taxonomy(s, entities(spark, sf), truth(spark, sf).join(s.select("q", "r"), ["q", "r"], "left_anti"))
+    s = once(spark, sf)
+    return analysis.taxonomy(s, entities(spark, sf, s), truth(spark, sf).join(s.select("q", "r"), ["q", "r"], "left_anti"))
 
 
 def causes(spark, sf):
-    ent = entities(spark, sf)
-    return analysis.root_causes(analysis.false_negatives(missed(spark, sf), 0.6), analysis.false_positives(selected(spark, sf), ent), ent)
+    s = once(spark, sf)
+    ent = entities(spark, sf, s).persist()
+    return analysis.root_causes(analysis.false_negatives(missed(spark, sf, s), 0.6), analysis.false_positives(s, ent), ent)
 
 
 @query("root_causes", f"WITH {X} SELECT kind, root_cause, component, error_pairs, entities, round(points, 6) AS f05_points, round(points / (SELECT count(*) FROM ent), 6) AS macro_f05_gain_if_fixed, round(points / (SELECT sum(1 - f05) FROM ent), 4) AS share_of_total_loss FROM rc")
@@ -732,8 +740,9 @@ TOPS = f"{E}, tp AS (SELECT tc.q, num_truth, coalesce(max(p), 0) AS top, coalesc
 WITH {TOPS}, b AS (SELECT ent.*, (SELECT min(x) FROM (SELECT CAST(unnest({list(analysis.MARGIN_BINS)}) AS DOUBLE) AS x) WHERE round(margin, 6) <= x) AS bin FROM ent JOIN tp USING (q))
 SELECT bin, count(*) AS entities, round(avg(f05), 6) AS mean_f05, round(avg(num_truth), 6) AS mean_truth, round(sum(1 - f05), 6) AS loss FROM b GROUP BY 1""")
 def _(spark, sf):
-    tops = with_top(spark, sf).select("q", F.round("top_second_margin", 6).alias("top_second_margin"))
-    return analysis.by_margin(entities(spark, sf).join(tops, "q"))
+    s = once(spark, sf)
+    tops = decision.confidence(s).select("q", F.round("top_second_margin", 6).alias("top_second_margin"))
+    return analysis.by_margin(entities(spark, sf, s).join(tops, "q", "left").fillna(0.0, ["top_second_margin"]))
 
 
 @query("no_match_rates", f"""
@@ -783,7 +792,7 @@ def _(spark, sf):
 WITH {X} SELECT * FROM (SELECT q, r, p, 'near_threshold' AS kind FROM fn WHERE p < 0.6 ORDER BY p DESC, q, r LIMIT 50) UNION ALL SELECT * FROM (SELECT q, r, p, 'lowest_score' FROM fn WHERE p IS NOT NULL ORDER BY p, q, r LIMIT 50)
 UNION ALL SELECT * FROM (SELECT q, r, p, 'not_retrieved' FROM fn WHERE p IS NULL ORDER BY q, r LIMIT 50)""")
 def _(spark, sf):
-    return analysis.hard_cases(analysis.false_negatives(missed(spark, sf), 0.6).select("q", "r", "p"), 0.6)
+    return analysis.hard_cases(analysis.false_negatives(missed(spark, sf), 0.6).select("q", "r", "p").persist(), 0.6)
 
 
 @query("hard_negatives", f"WITH {E} SELECT q, r, p FROM sel WHERE selected AND label = 0 AND p >= 0.55")
