@@ -45,13 +45,14 @@ def query(name: str, sql: str | None = None):
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return records.spread(df.select("doc_id", "text", "lang", "source", "n_chars")) if name == "documents" else df
 
 
 def recs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Records with all views."""
+    """Records with all views, made once for all that reads them."""
     rows = records.from_documents(table(spark, sf_dir, "documents"))
-    return tx.address_views(tx.name_views(rows))
+    return tx.address_views(tx.name_views(rows)).persist()
 
 
 def sides(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:

@@ -12,6 +12,24 @@ from quillon.operators.evaluation import ids
 RECORD = ("entity_id", "business_name", "business_address", "country")
 
 
+#: A table under so many bytes a core that lies in few files is dealt out before work starts.
+SMALL = 64 << 20
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """A small table in fewer files than there are cores, dealt out to all cores; any other as it is.
+
+    A Parquet row group is read by one task, so a small table of one file would keep all but one core idle.
+    """
+    spark = df.sparkSession
+    cores, files = spark.sparkContext.defaultParallelism, df.inputFiles()
+    if not files or len(files) >= cores:
+        return df
+    conf, path = spark._jsc.hadoopConfiguration(), spark._jvm.org.apache.hadoop.fs.Path
+    size = sum(p.getFileSystem(conf).getFileStatus(p).getLen() for p in map(path, files))
+    return df.repartition(cores) if size < SMALL * cores else df
+
+
 def schema(columns) -> StructType:
     return StructType([StructField(c, StringType()) for c in columns])
 
