@@ -67,8 +67,12 @@ def small_batches(spark: SparkSession) -> None:
 
 
 def documents(spark: SparkSession, sf_dir: str, name: str = "documents") -> DataFrame:
+    """A table; small ones of few files are dealt out to all cores."""
+    from quillon.sources.records import spread
+
     small_batches(spark)
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread(df) if name == "documents" else df
 
 
 def broadcast_value(spark: SparkSession, value):
