@@ -96,3 +96,42 @@ def test_stream_links_every_new_record_once(spark, tmp_path):
         stream = spark.readStream.schema(schema).parquet(str(tmp_path / "in"))
         linking.link_stream(stream, ref, str(tmp_path / "out"), str(tmp_path / "ck")).awaitTermination(120)
     assert {(r.q, r.r) for r in spark.read.parquet(str(tmp_path / "out")).collect()} == {("S1-0", "S2-1"), ("S1-1", "S2-2")}
+
+
+def test_char_ngrams_follow_a_plain_cosine(spark):
+    import math
+    import random
+
+    rnd = random.Random(7)
+    word = lambda: "".join(rnd.choice("abcd") for _ in range(rnd.randint(1, 6)))
+    q = {f"S1-{i}": " ".join(word() for _ in range(3)) for i in range(12)}
+    r = {f"S2-{i}": " ".join(word() for _ in range(3)) for i in range(20)}
+
+    def bag(text):
+        out = {}
+        for w in text.split(" "):
+            for n in (3, 4):
+                for i in range(len(w) + 2 - n + 1):
+                    g = f" {w} "[i : i + n]
+                    out[g] = out.get(g, 0) + 1
+        return out
+
+    bags = {k: bag(v) for k, v in (q | r).items()}
+    df = {}
+    for k in r:
+        for g in bags[k]:
+            df[g] = df.get(g, 0) + 1
+    idf = {g: math.log((1 + len(r)) / (1 + n)) + 1 for g, n in df.items() if 2 <= n <= 15}
+
+    def vector(k):
+        v = {g: (1 + math.log(n)) * idf[g] for g, n in bags[k].items() if g in idf}
+        norm = math.sqrt(sum(x * x for x in v.values()))
+        return {g: x / norm for g, x in v.items()}
+
+    vec = {k: vector(k) for k in bags}
+    want = {(a, b): s for a in q for b in r if (s := sum(x * vec[b].get(g, 0) for g, x in vec[a].items())) > 0}
+    frame = lambda d: spark.createDataFrame([(k, v, "us") for k, v in d.items()], "entity_id string, n string, country_key string")
+    got = {(x.q, x.r): x.score / 1e12 for x in blocking.char_top_k(frame(q), frame(r), "n", max_df=15, top_k=50).collect()}
+    assert set(got) == set(want) and all(abs(got[k] - want[k]) < 1e-4 for k in want)
+    best = {x.q: x.r for x in blocking.char_top_k(frame(q), frame(r), "n", max_df=15, top_k=1).collect()}
+    assert all(got[a, b] == max(s for (x, _), s in got.items() if x == a) for a, b in best.items())
