@@ -10,10 +10,12 @@ too high. The model interpolates the pair's relative frequency with the word's s
 with the counts as the filter gives them (a q stands for 1.4 * 2^(q - 1), and 1 for itself). A text starts with a begin
 mark that is no token, and ends with an end mark that is one.
 
-N-grams are spread by hash over buckets; tasks send each bucket's sorted hashes, a bucket merges them and builds its own
-stretch of the filter. The filter has about ``BITS_PER_TOKEN`` bits a training token, 2^``MOST_BITS`` at most (256 MB), which
-bounds what is broadcast; beyond that the rate of false positives grows. Exact word counts for ``base_score`` are
-broadcast for the most frequent words (2^20 at most, 16 MB); occurrences of rarer ones meet their counts in a join.
+Rows are packed into chunks. N-grams are spread by hash over buckets; each chunk sends every bucket the sorted hashes of its
+n-grams with their training counts, a bucket merges them, builds its own stretch of the filter and answers each chunk with
+the levels that probes give. Chunks meet their answers in a join, so the filter is never sent or gathered: it has about
+``BITS_PER_TOKEN`` bits a training token at every size, and a task holds one bucket's stretch. Exact word counts for
+``base_score`` are broadcast for the most frequent words (2^20 at most, 16 MB); occurrences of rarer ones meet their counts
+in a join.
 
 Words are known by 64-bit hashes, pairs within a bucket by 32 bits more, finer than the filter tells them apart.
 
@@ -27,6 +29,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -36,14 +39,14 @@ ADD = 0.1
 LEAST_PAIR = 2
 WEIGHT, HALF = 0.5, 4.0
 PROBES = 4
-BITS_PER_TOKEN, LEAST_BITS, MOST_BITS = 2, 20, 31
+BITS_PER_TOKEN, LEAST_BITS = 2, 20
 MOST_WORDS = 1 << 20
 #: Training tokens for each bucket, about.
 BUCKET = 1 << 20
 FOLDS = 10
 END, BEGIN = (int(common.mix(np.array([x], np.uint64))[0]) for x in (3, 5))
-#: n-grams that a task holds before it sends them on.
-HELD = 3 << 20
+#: Bytes of text that make a chunk.
+HELD = 16 << 20
 
 
 def tokens(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -67,14 +70,44 @@ def pairs(at: np.ndarray, h: np.ndarray) -> np.ndarray:
     return common.mix(before * np.uint64(0x9E3779B97F4A7C15) + h)
 
 
-def counted(docs: DataFrame, bits: int) -> DataFrame:
-    """pair, bucket, grams, numbers: sorted hashes of a task's distinct words or pairs in a bucket, and their counts."""
+def packed(rows: DataFrame) -> DataFrame:
+    """chunk, rows: all columns of about ``HELD`` bytes of text as one compressed Arrow stream, under a number of its own."""
 
-    def sent(grams: list[np.ndarray], pair: bool) -> Iterator[pa.RecordBatch]:
-        h = np.concatenate(grams) if grams else np.zeros(0, np.uint64)
-        if pair:
-            h = h >> np.uint64(32 - bits)  # bucket and 32 bits
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own, n, k = [], 0, TaskContext.get().partitionId() << 32
+
+        def sent() -> pa.RecordBatch:
+            sink = pa.BufferOutputStream()
+            with pa.ipc.new_stream(sink, own[0].schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+                for x in own:
+                    out.write_batch(x)
+            return pa.RecordBatch.from_arrays([pa.array([k], pa.int64()), pa.array([sink.getvalue().to_pybytes()], pa.binary())], ["chunk", "rows"])
+
+        for b in common.lean(batches):
+            if not b.num_rows:
+                continue
+            own.append(b)
+            n += b.nbytes
+            if n >= HELD:
+                yield sent()
+                own, n, k = [], 0, k + 1
+        if own:
+            yield sent()
+
+    return rows.mapInArrow(run, "chunk long, rows binary")
+
+
+def unpacked(data: bytes) -> pa.Table:
+    return pa.ipc.open_stream(data).read_all().combine_chunks()
+
+
+def counted(chunks: DataFrame, bits: int) -> DataFrame:
+    """chunk, pair, bucket, grams, few, many: sorted hashes of a chunk's distinct words or pairs in a bucket, and their training counts."""
+
+    def sent(chunk: int, h: np.ndarray, held: np.ndarray, pair: bool) -> pa.RecordBatch:
         values, numbers = np.unique(h, return_counts=True)
+        others, n = np.unique(h[held], return_counts=True)
+        numbers[np.searchsorted(values, others)] -= n
         bucket = (values >> np.uint64(32 if pair else 64 - bits)).astype(np.int64)
         cuts = np.searchsorted(bucket, np.arange((1 << bits) + 1))
         values = values.astype(np.uint32) if pair else values
@@ -82,23 +115,23 @@ def counted(docs: DataFrame, bits: int) -> DataFrame:
         numbers = numbers.astype(np.uint32)
         few = np.minimum(numbers, 255).astype(np.uint8)
         rows = [[values[cuts[k] : cuts[k + 1]].tobytes() for k in own], [few[cuts[k] : cuts[k + 1]].tobytes() for k in own], [(n := numbers[cuts[k] : cuts[k + 1]])[n >= 255].tobytes() for k in own]]
-        yield pa.RecordBatch.from_arrays([pa.array([pair] * len(own), pa.bool_()), pa.array(own, pa.int32()), *(pa.array(r, pa.binary()) for r in rows)], ["pair", "bucket", "grams", "few", "many"])
+        return pa.RecordBatch.from_arrays([pa.array([chunk] * len(own), pa.int64()), pa.array([pair] * len(own), pa.bool_()), pa.array(own, pa.int32()), *(pa.array(r, pa.binary()) for r in rows)], ["chunk", "pair", "bucket", "grams", "few", "many"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        one, two, n = [], [], 0
         for b in common.lean(batches):
-            at, h = tokens(common.strings(b["text"]))
-            one.append(h)
-            two.append(pairs(at, h))
-            n += len(h)
-            if n >= HELD:
-                yield from sent(one, False)
-                yield from sent(two, True)
-                one, two, n = [], [], 0
-        yield from sent(one, False)
-        yield from sent(two, True)
+            for chunk, data in zip(b["chunk"].to_pylist(), b["rows"]):
+                t = unpacked(data.as_py())
+                at, h = tokens(common.strings(t["text"]))
+                held = np.repeat(t["held_out"].to_numpy(), np.diff(at))
+                yield sent(chunk, h, held, False)
+                yield sent(chunk, _placed(pairs(at, h), bits), held, True)
 
-    return docs.select("text").mapInArrow(run, "pair boolean, bucket int, grams binary, few binary, many binary")
+    return chunks.mapInArrow(run, "chunk long, pair boolean, bucket int, grams binary, few binary, many binary")
+
+
+def _placed(h: np.ndarray, bits: int) -> np.ndarray:
+    """What is kept of pairs: bucket and 32 bits."""
+    return h >> np.uint64(32 - bits)
 
 
 def _places(h: np.ndarray, level: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
@@ -122,37 +155,38 @@ def stretch(grams: np.ndarray, levels: np.ndarray, first: int, size: int) -> np.
     return np.packbits(out, bitorder="little")
 
 
-def merged(parts: DataFrame, bits: int, size: int) -> DataFrame:
-    """One row for each bucket: bits (its stretch of the filter); of words also grams and numbers."""
+def merged(parts: DataFrame, size: int) -> DataFrame:
+    """One row for each of parts: levels, as the bucket's stretch of the filter gives them (a byte for each of grams).
+    One more for each bucket of words, without chunk: grams and numbers, with exact counts."""
     least = LEAST_PAIR
 
     def run(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pair, bucket = key[0].as_py(), key[1].as_py()
         kind = np.uint32 if pair else np.uint64
-        values, numbers = [], []
+        chunks, values, numbers = [], [], []
         for b in common.lean(batches):
+            chunks += b["chunk"].to_pylist()
             for g, f, m in zip(b["grams"].to_pylist(), b["few"].to_pylist(), b["many"].to_pylist()):
                 n = np.frombuffer(f, np.uint8).astype(np.int64)
                 n[n == 255] = np.frombuffer(m, np.uint32)
                 values.append(np.frombuffer(g, kind))
                 numbers.append(n)
-        h, n = np.concatenate(values), np.concatenate(numbers)
-        order = np.argsort(h, kind="stable")
-        h, n = h[order], n[order]
-        first = np.flatnonzero(np.append(True, h[1:] != h[:-1]))
-        h, n = h[first], np.add.reduceat(n, first)
-        if pair:
-            known = n >= least
-            data = stretch(_pair_key(h[known].astype(np.uint64)), quantised(n[known]), quantised(np.array([least]))[0], size)
-            yield pa.RecordBatch.from_arrays([pa.array([pair]), pa.array([bucket], pa.int32()), pa.array([data.tobytes()], pa.binary()), pa.array([None], pa.binary()), pa.array([None], pa.binary())], NAMES)
-        else:
-            data = stretch(h, quantised(n), 1, size)
-            yield pa.RecordBatch.from_arrays([pa.array([pair]), pa.array([bucket], pa.int32()), pa.array([data.tobytes()], pa.binary()), pa.array([h.tobytes()], pa.binary()), pa.array([n.tobytes()], pa.binary())], NAMES)
-
-    return parts.groupBy("pair", "bucket").applyInArrow(run, "pair boolean, bucket int, bits binary, grams binary, numbers binary")
-
-
-NAMES = ["pair", "bucket", "bits", "grams", "numbers"]
+        h, place = np.unique(np.concatenate(values), return_inverse=True)
+        n = np.bincount(place, np.concatenate(numbers), len(h)).astype(np.int64)
+        first = int(quantised(np.array([least]))[0]) if pair else 1
+        own, known = _pair_key(h.astype(np.uint64)) if pair else h, n >= (least if pair else 1)
+        filter_ = Filter(0, size, stretch(own[known], quantised(n[known]), first, size))
+        levels = filter_._probe(np.zeros(len(h), np.int64), own, first)
+        levels = np.where(levels < first, 0, levels).astype(np.uint8)[place]
+        ends = np.cumsum([len(x) for x in values])
+        answers = [levels[e - len(x) : e].tobytes() for x, e in zip(values, ends)]
+        grams, counts = [None] * len(chunks), [None] * len(chunks)
+        if not pair:
+            chunks, answers, grams, counts = [*chunks, None], [*answers, None], [*grams, h[known].tobytes()], [*counts, n[known].tobytes()]
+        k = len(chunks)
+        yield pa.RecordBatch.from_arrays([pa.array(chunks, pa.int64()), pa.array([pair] * k, pa.bool_()), pa.array([bucket] * k, pa.int32()), *(pa.array(x, pa.binary()) for x in (answers, grams, counts))], ["chunk", "pair", "bucket", "levels", "grams", "numbers"])
+
+    return parts.groupBy("pair", "bucket").applyInArrow(run, "chunk long, pair boolean, bucket int, levels binary, grams binary, numbers binary")
 
 
 def _pair_key(rest: np.ndarray) -> np.ndarray:
@@ -160,10 +194,10 @@ def _pair_key(rest: np.ndarray) -> np.ndarray:
 
 
 class Filter:
-    """Counts of words and pairs, read by repeated probes."""
+    """Counts of n-grams, read by repeated probes."""
 
     def __init__(self, bits: int, size: int, data: np.ndarray):
-        """data: the stretches of the buckets for words, then those for pairs; size: bits of each."""
+        """data: the stretches of the buckets; size: bits of each."""
         self.bits, self.size, self.data = bits, size, data
 
     def _probe(self, stretch_at: np.ndarray, grams: np.ndarray, first: int) -> np.ndarray:
@@ -186,57 +220,44 @@ class Filter:
     def words(self, h: np.ndarray) -> np.ndarray:
         return self._count(self._probe((h >> np.uint64(64 - self.bits)).astype(np.int64), h, 1), 1)
 
-    def pairs(self, h: np.ndarray) -> np.ndarray:
-        h = h >> np.uint64(32 - self.bits)
-        at = (h >> np.uint64(32)).astype(np.int64) + (1 << self.bits)
-        first = int(quantised(np.array([LEAST_PAIR]))[0])
-        return self._count(self._probe(at, _pair_key(h & np.uint64(0xFFFFFFFF)), first), first)
-
     @staticmethod
     def _count(q: np.ndarray, first: int) -> np.ndarray:
         return np.where(q < first, 0.0, np.where(q == 1, 1.0, 1.4 * 2.0 ** (q - 1)))
 
 
-def model_scores(filter_: Filter, at: np.ndarray, h: np.ndarray, n: int, v: int) -> np.ndarray:
-    """log10 probability of each text."""
-    values, place = np.unique(h, return_inverse=True)
-    word = filter_.words(values)[place]
+def model_scores(word: np.ndarray, pair: np.ndarray, at: np.ndarray, n: int, v: int) -> np.ndarray:
+    """log10 probability of each text, from its tokens' counts and those of the pairs that end there."""
     before = np.empty_like(word)
     before[1:] = word[:-1]
-    starts = at[:-1]
-    begin = filter_.words(np.array([END], np.uint64))[0]  # as many texts begin as end
-    before[starts] = begin
-    together = np.minimum(filter_.pairs(pairs(at, h)), np.minimum(before, word))
+    before[at[:-1]] = word[at[1:] - 1]  # as many texts begin as end
+    together = np.minimum(pair, np.minimum(before, word))
     share = WEIGHT * before / (before + HALF)
     p = share * together / np.maximum(before, 1) + (1 - share) * (word + ADD) / (n + ADD * (v + 1)) if n else np.ones(len(word))
     return common.segment_sum(np.log10(np.minimum(p, 1)), at)
 
 
+def shape(letters: float) -> tuple[int, int]:
+    """For so many training tokens: 2 to the first is the number of buckets of words, as of pairs; bits of each one's stretch."""
+    bits = max(4, int(max(letters / BUCKET, 1)).bit_length())
+    total_bits = max(LEAST_BITS, int(letters * BITS_PER_TOKEN).bit_length())
+    return bits, max(512, (1 << total_bits) >> (bits + 1))
+
+
 def score(docs: DataFrame, held_out) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of every row; learns where ``held_out`` is false."""
     spark = docs.sparkSession
     rows = docs.select("doc_id", "text", held_out.alias("held_out"))
-    train = rows.where(~F.col("held_out"))
-    letters = train.agg(F.sum(F.length("text") / 6 + 1)).first()[0] or 0
-    bits = max(4, int(max(letters / BUCKET, 1)).bit_length())
-    total_bits = min(MOST_BITS, max(LEAST_BITS, int(letters * BITS_PER_TOKEN).bit_length()))
-    size = max(512, (1 << total_bits) >> (bits + 1))
-    made = common.table(merged(counted(train, bits), bits, size), "counts")
+    bits, size = shape(rows.where(~F.col("held_out")).agg(F.sum(F.length("text") / 6 + 1)).first()[0] or 0)
+    chunks = common.table(packed(rows), "chunks")
+    made = common.table(merged(counted(chunks, bits), size), "counts")
     common.release(spark)
-    stretches = made.select("pair", "bucket", "bits").toArrow()
-    data = np.zeros((2 << bits, size // 8), np.uint8)
-    for pair, bucket, x in zip(*(stretches[c].to_pylist() for c in ("pair", "bucket", "bits"))):
-        data[bucket + (pair << bits)] = np.frombuffer(x, np.uint8)
-    del stretches
-    sent = common.broadcast_value(spark, (bits, size, data.ravel()))
-    del data
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in common.lean(batches):
             for g, n in zip(b["grams"].to_pylist(), b["numbers"].to_pylist()):
                 yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(g, np.int64)), pa.array(np.frombuffer(n, np.int64))], ["gram", "c"])
 
-    counts = made.where(~F.col("pair")).select("grams", "numbers").mapInArrow(spread, "gram long, c long")
+    counts = made.where("chunk IS NULL").select("grams", "numbers").mapInArrow(spread, "gram long, c long")
     by_count = sorted((tuple(r) for r in counts.groupBy("c").agg(F.count("*")).collect()), reverse=True)
     n, v = sum(c * k for c, k in by_count), sum(k for _, k in by_count)
     least, held = (by_count[0][0] + 1 if by_count else 1), 0
@@ -251,25 +272,32 @@ def score(docs: DataFrame, held_out) -> DataFrame:
     head = common.broadcast_value(spark, (grams[order], t["c"].to_numpy()[order]))
     under = np.log10((1 + ADD * (v + 1)) if not n else (n + ADD * (v + 1)))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
         known, numbers = head.value
-        filter_ = Filter(*sent.value)
-        for b in common.lean(batches):
-            at, h = tokens(common.strings(b["text"]))
-            values, place = np.unique(h, return_inverse=True)
-            spot = np.minimum(np.searchsorted(known, values), max(len(known) - 1, 0))
-            there = (known[spot] == values) if len(known) else np.zeros(len(values), bool)
-            each = np.where(there, np.log10((numbers[spot] if len(known) else 0) + ADD) - under, 0.0)
-            rare = ~there[place]
-            cuts = np.concatenate(([0], np.cumsum(rare)))[at]
-            lists = pa.ListArray.from_arrays(pa.array(cuts.astype(np.int32)), pa.array(h[rare].view(np.int64)))
-            yield pa.RecordBatch.from_arrays(
-                [b["doc_id"], b["held_out"], pa.array(np.diff(at)), pa.array(np.diff(at) - np.diff(cuts)), pa.array(common.segment_sum(each[place], at)), pa.array(model_scores(filter_, at, h, n, v)), lists],
-                ["doc_id", "held_out", "n_tokens", "n_head", "head_score", "score", "rare"],
-            )
+        b = unpacked(left["rows"][0].as_py())
+        levels = {False: [], True: []}
+        for pair, _, x in sorted(zip(right["pair"].to_pylist(), right["bucket"].to_pylist(), right["levels"].to_pylist())):
+            levels[pair].append(np.frombuffer(x, np.uint8))
+        at, h = tokens(common.strings(b["text"]))
+        values, place = np.unique(h, return_inverse=True)
+        spot = np.minimum(np.searchsorted(known, values), max(len(known) - 1, 0))
+        there = (known[spot] == values) if len(known) else np.zeros(len(values), bool)
+        each = np.where(there, np.log10((numbers[spot] if len(known) else 0) + ADD) - under, 0.0)
+        rare = ~there[place]
+        cuts = np.concatenate(([0], np.cumsum(rare)))[at]
+        lists = pa.ListArray.from_arrays(pa.array(cuts.astype(np.int32)), pa.array(h[rare].view(np.int64)))
+        word = Filter._count(np.concatenate(levels[False]).astype(np.int64), 1)[place]
+        base = common.segment_sum(each[place], at)
+        _, place = np.unique(_placed(pairs(at, h), bits), return_inverse=True)
+        pair = Filter._count(np.concatenate(levels[True]).astype(np.int64), 1)[place]
+        return pa.table(
+            [b["doc_id"], b["held_out"], pa.array(np.diff(at)), pa.array(np.diff(at) - np.diff(cuts)), pa.array(base), pa.array(model_scores(word, pair, at, n, v)), lists],
+            ["doc_id", "held_out", "n_tokens", "n_head", "head_score", "score", "rare"],
+        )
 
     kind = rows.schema["doc_id"].dataType.simpleString()
-    scored = rows.mapInArrow(run, f"doc_id {kind}, held_out boolean, n_tokens long, n_head long, head_score double, score double, rare array<long>")
+    answers = made.where("chunk IS NOT NULL").select("chunk", "pair", "bucket", "levels")
+    scored = chunks.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(run, f"doc_id {kind}, held_out boolean, n_tokens long, n_head long, head_score double, score double, rare array<long>")
     scored = common.table(scored.withColumn("row", F.monotonically_increasing_id()), "scored")
     found = scored.select("row", F.explode("rare").alias("gram")).join(counts.where(F.col("c") < least), "gram", "left")
     c = F.coalesce("c", F.lit(0))

@@ -64,3 +64,43 @@ def test_model_beats_the_base_on_held_out_texts(spark, sf):
     held = [x for x in r if x.held_out]
     assert sum(x.score for x in held) > sum(x.base_score for x in held)
     assert all(x.score < 0 for x in r)
+
+
+def exact_scores(rows, least=1):
+    """Scores with exact counts, quantised as the filter's are: what scores are without a false positive."""
+    count = lambda c: 0.0 if not c else 1.0 if c == 1 else 1.4 * 2.0 ** (c.bit_length() - 1)
+    held = [zlib.crc32(str(i).encode()) % 10 == 0 for i, _ in rows]
+    texts = [["\n", *parts(t)] for _, t in rows]
+    one = Counter(w for t, h in zip(texts, held) if not h for w in t[1:])
+    two = Counter(x for t, h in zip(texts, held) if not h for x in zip([None, *t[1:]], t[1:]))
+    n, v, out = sum(one.values()), len(one), []
+    for t in texts:
+        total = 0.0
+        for k in range(1, len(t)):
+            x = (t[k - 1] if k > 1 else None, t[k])
+            before, word = count(one[t[k - 1]]), count(one[t[k]])
+            both = min(count(two[x]) if two[x] >= least else 0.0, before, word)
+            share = lmscore.WEIGHT * before / (before + lmscore.HALF)
+            p = share * both / max(before, 1) + (1 - share) * (word + lmscore.ADD) / (n + lmscore.ADD * (v + 1))
+            total += math.log10(min(p, 1))
+        out.append(total)
+    return out
+
+
+def zipf_rows(n):
+    rnd = np.random.default_rng(1)
+    return [(i, " ".join(f"w{x}" for x in rnd.zipf(1.3, 60).clip(1, 5000))) for i in range(n)]
+
+
+def test_filter_has_the_same_bits_a_token_at_every_size(spark, monkeypatch):
+    for letters in (1e6, 2e8, 5e9, 1e12):
+        bits, size = lmscore.shape(letters)
+        assert size << (bits + 1) >= lmscore.BITS_PER_TOKEN * letters and size <= 1 << 22
+    monkeypatch.setattr(lmscore, "MOST_BITS", 12, raising=False)  # no cap holds any more
+    monkeypatch.setattr(lmscore, "HELD", 1 << 14)  # many chunks
+    monkeypatch.setattr(lmscore, "BUCKET", 1 << 10)  # many buckets
+    rows = zipf_rows(400)
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: r.score for r in lmscore.score(df, lmscore.common.fold("doc_id", 10) == 0).collect()}
+    off = [abs(got[i] - s) for (i, _), s in zip(rows, exact_scores(rows, lmscore.LEAST_PAIR))]
+    assert np.median(off) < 0.5
