@@ -1,7 +1,7 @@
 """Language-model scores from a log-frequency Bloom filter.
 
 Counting gives every training word's and word pair's number. A count c is quantised to q = 1 + floor(log2 c), and the
-filter holds (n-gram, 1) ... (n-gram, q); words have all counts, pairs those from ``LEAST_PAIR`` on. A scorer learns q by probing
+filter holds (n-gram, 1) ... (n-gram, q), for words and pairs of every count. A scorer learns q by probing
 (n-gram, 1), (n-gram, 2), ... until a probe fails, so it never reads a count too low, and by false positives seldom one
 too high. The model interpolates the pair's relative frequency with the word's smoothed one:
 
@@ -12,8 +12,9 @@ mark that is no token, and ends with an end mark that is one.
 
 Rows are packed into chunks. N-grams are spread by hash over buckets; each chunk sends every bucket the sorted hashes of its
 n-grams with their training counts, a bucket merges them, builds its own stretch of the filter and answers each chunk with
-the levels that probes give. Chunks meet their answers in a join, so the filter is never sent or gathered: it has about
-``BITS_PER_TOKEN`` bits a training token at every size, and a task holds one bucket's stretch. Exact word counts for
+the levels that probes give. Chunks meet their answers in a join, so the filter is never sent or gathered: it has at
+least ``BITS_PER_TOKEN`` bits a training token and ``BITS_PER_LEVEL`` bits for each (n-gram, q) in it at every size, and a
+task holds one bucket's stretch. Exact word counts for
 ``base_score`` are broadcast for the most frequent words (2^20 at most, 16 MB); occurrences of rarer ones meet their counts
 in a join.
 
@@ -36,10 +37,9 @@ from pyspark.sql import functions as F
 from quillon.llm import common
 
 ADD = 0.1
-LEAST_PAIR = 2
 WEIGHT, HALF = 0.5, 4.0
 PROBES = 4
-BITS_PER_TOKEN, LEAST_BITS = 2, 20
+BITS_PER_TOKEN, BITS_PER_LEVEL, LEAST_BITS = 2, 16, 20
 MOST_WORDS = 1 << 20
 #: Training tokens for each bucket, about.
 BUCKET = 1 << 20
@@ -158,7 +158,6 @@ def stretch(grams: np.ndarray, levels: np.ndarray, first: int, size: int) -> np.
 def merged(parts: DataFrame, size: int) -> DataFrame:
     """One row for each of parts: levels, as the bucket's stretch of the filter gives them (a byte for each of grams).
     One more for each bucket of words, without chunk: grams and numbers, with exact counts."""
-    least = LEAST_PAIR
 
     def run(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pair, bucket = key[0].as_py(), key[1].as_py()
@@ -173,11 +172,10 @@ def merged(parts: DataFrame, size: int) -> DataFrame:
                 numbers.append(n)
         h, place = np.unique(np.concatenate(values), return_inverse=True)
         n = np.bincount(place, np.concatenate(numbers), len(h)).astype(np.int64)
-        first = int(quantised(np.array([least]))[0]) if pair else 1
-        own, known = _pair_key(h.astype(np.uint64)) if pair else h, n >= (least if pair else 1)
-        filter_ = Filter(0, size, stretch(own[known], quantised(n[known]), first, size))
-        levels = filter_._probe(np.zeros(len(h), np.int64), own, first)
-        levels = np.where(levels < first, 0, levels).astype(np.uint8)[place]
+        own, known = _pair_key(h.astype(np.uint64)) if pair else h, n > 0
+        q = quantised(n[known])
+        full = max(size, -(-BITS_PER_LEVEL * int(q.sum()) // 512) * 512)
+        levels = Filter(0, full, stretch(own[known], q, 1, full))._probe(np.zeros(len(h), np.int64), own, 1).astype(np.uint8)[place]
         ends = np.cumsum([len(x) for x in values])
         answers = [levels[e - len(x) : e].tobytes() for x, e in zip(values, ends)]
         grams, counts = [None] * len(chunks), [None] * len(chunks)
@@ -237,7 +235,7 @@ def model_scores(word: np.ndarray, pair: np.ndarray, at: np.ndarray, n: int, v:
 
 
 def shape(letters: float) -> tuple[int, int]:
-    """For so many training tokens: 2 to the first is the number of buckets of words, as of pairs; bits of each one's stretch."""
+    """For so many training tokens: 2 to the first is the number of buckets of words, as of pairs; bits that each one's stretch has at least."""
     bits = max(4, int(max(letters / BUCKET, 1)).bit_length())
     total_bits = max(LEAST_BITS, int(letters * BITS_PER_TOKEN).bit_length())
     return bits, max(512, (1 << total_bits) >> (bits + 1))
