@@ -113,11 +113,12 @@ class Channel:
         return idf_top_k(queries, reference, self.views, ref_views=self.ref_views, **self.options).select("q", "r", "rank")
 
 
+#: The last needs records prepared as pairs' features need them (features.prepared): names de-leeted, the reference translated.
 FINAL_CHANNELS = (
     Channel("content_name", "exact", ("name_content",)),
     Channel("fingerprint_name", "exact", ("name_fingerprint",)),
     Channel("fingerprint_address", "exact", ("address_fingerprint",)),
-    Channel("hybrid_translated", "tokens", ("name_content", "address_basic")),
+    Channel("hybrid_translated", "tokens", ("name_content_deleet", "address_basic"), ref_views=("name_content_x", "address_basic_x")),
 )
 
 

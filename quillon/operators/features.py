@@ -31,6 +31,7 @@ def record_views(df: DataFrame, names: Column | None = None, addresses: Column |
     content = tx.deleet(F.col("name_content")) if reference else same("name_content")
     df = df.withColumns({
         "name_basic_x": leet,
+        "name_content_deleet": content if reference else tx.deleet(F.col("name_content")),
         "name_content_x": tx.translated(content, names) if reference and names is not None else content,
         "address_basic_x": tx.translated(F.col("address_basic"), addresses) if reference and addresses is not None else same("address_basic"),
     })

@@ -15,14 +15,15 @@ from quillon.operators import tokens as tk
 def learn_dictionaries(s1: DataFrame, reference: DataFrame, truth: DataFrame) -> tuple[Column | None, Column | None]:
     """Map literals of the translations of names and addresses that true pairs teach."""
     out = []
-    for view in ("name_content", "address_basic"):
-        pairs = truth.join(s1.select(F.col("entity_id").alias("q"), F.col(view).alias("s1_text")), "q").join(reference.select(F.col("entity_id").alias("r"), F.col(view).alias("target_text")), "r")
+    for view, target in (("name_content", tx.deleet(F.col("name_content"))), ("address_basic", F.col("address_basic"))):
+        pairs = truth.join(s1.select(F.col("entity_id").alias("q"), F.col(view).alias("s1_text")), "q").join(reference.select(F.col("entity_id").alias("r"), target.alias("target_text")), "r")
         words = tk.dictionary(tk.learn_translation(pairs, s1, reference, view))
         out.append(F.create_map(*(F.lit(x) for kv in words.items() for x in kv)) if words else None)
     return tuple(out)
 
 
 def candidates(s1: DataFrame, reference: DataFrame, channels: Sequence[blocking.Channel] = blocking.FINAL_CHANNELS) -> DataFrame:
+    """Pairs of all channels; records as features.prepared gives them."""
     return blocking.generate(s1, reference, channels)
 
 

@@ -135,3 +135,16 @@ def test_char_ngrams_follow_a_plain_cosine(spark):
     assert set(got) == set(want) and all(abs(got[k] - want[k]) < 1e-4 for k in want)
     best = {x.q: x.r for x in blocking.char_top_k(frame(q), frame(r), "n", max_df=15, top_k=1).collect()}
     assert all(got[a, b] == max(s for (x, _), s in got.items() if x == a) for a, b in best.items())
+
+
+def test_translation_and_deleeting_find_candidates(spark):
+    """S1-90 and S2-90 share a token only after translation, S1-91 and S2-91 only after de-leeting."""
+    s1 = [(f"S1-{i}", f"alpha{i} house", "road") for i in range(6)] + [("S1-90", "house", ""), ("S1-91", "golden", "")]
+    ref = [(f"S2-{i}", f"alpha{i} maison", "road") for i in range(6)] + [("S2-90", "maison", ""), ("S2-91", "g0lden", "")] + [(f"S2-{i}", f"other{i}", f"street{i}") for i in range(20, 60)]
+    rows = lambda x: tx.address_views(tx.name_views(spark.createDataFrame([(*r, "us", "us", "us") for r in x], "entity_id string, business_name string, business_address string, country_key string, country_raw string, country string")))
+    truth = spark.createDataFrame([(f"S1-{i}", f"S2-{i}") for i in range(6)], "q string, r string")
+    left, right = rows(s1).persist(), rows(ref).persist()
+    channels = [c for c in blocking.FINAL_CHANNELS if c.kind == "tokens"]
+    pairs = linkage.candidates(*features.prepared(left, right, *linkage.learn_dictionaries(left, right, truth)), channels)
+    found = {(r.q, r.r) for r in pairs.select("q", "r").collect()}
+    assert ("S1-90", "S2-90") in found and ("S1-91", "S2-91") in found
