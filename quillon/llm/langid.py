@@ -25,7 +25,6 @@ from quillon.llm import common
 BITS = 15
 SMOOTHING = 0.5
 ROUNDS = 6
-MOST_LANGUAGES = 3
 #: Log-likelihood that a further language must gain, beside half the log of the number of words.
 PENALTY = 3.0
 #: Words that are worked on at a time.
@@ -112,7 +111,7 @@ def infer(codes: np.ndarray, sizes: np.ndarray, score: np.ndarray) -> tuple[np.n
     best, kept = single.max(axis=1), np.zeros_like(share)
     lang = single.argmax(axis=1)
     kept[rows, lang] = 1
-    for k in range(2, min(MOST_LANGUAGES, n_langs) + 1):
+    for k in range(2, n_langs + 1):
         inside = np.zeros_like(share)
         inside[rows[:, None], order[:, :k]] = 1
         own = np.maximum(share * inside, 1e-12 * inside)

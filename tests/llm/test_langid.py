@@ -41,3 +41,12 @@ def test_mixture_of_two_languages_is_seen():
 def test_trigrams_mark_word_ends():
     buckets, at = langid.trigrams(pa.array(["a", "ab", "a"]))
     assert at.tolist() == [0, 1, 3, 4] and buckets[0] == buckets[3] != buckets[1]
+
+
+def test_shares_of_four_and_more_languages_are_not_rescaled():
+    for shares in ((45, 20, 20, 15), (40, 15, 15, 15, 15)):
+        k = len(shares)
+        score = np.where(np.eye(k, dtype=bool), -1.0, -20.0)  # word i is of language i
+        codes = np.repeat(np.arange(k), np.array(shares) * 4)
+        lang, part = langid.infer(codes, np.array([len(codes)]), score)
+        assert lang[0] == 0 and abs(part[0] - shares[0] / 100) < 0.01
