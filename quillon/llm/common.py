@@ -60,6 +60,14 @@ def drop_table(df: DataFrame) -> None:
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def fresh(df: DataFrame, name: str) -> str:
+    """The name, or one like it that no column of df has."""
+    held = {c.lower() for c in df.columns}
+    while name.lower() in held:
+        name = f"_{name}"
+    return name
+
+
 def small_batches(spark: SparkSession) -> None:
     """Arrow batches of at most 1,000 rows and about 8 MB, so that a Python worker's memory stays small."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")

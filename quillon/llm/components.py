@@ -1,4 +1,4 @@
-"""Connected components of a table of links, by alternating large and small stars until nothing changes."""
+"""Connected components of a table of links, by alternating large and small stars until every component is one star."""
 
 from __future__ import annotations
 
@@ -8,8 +8,12 @@ from pyspark.sql import functions as F
 from quillon.llm import common
 
 
-def _state(edges: DataFrame) -> tuple:
-    return tuple(edges.agg(F.count("*"), F.bit_xor(F.xxhash64("x", "y"))).first())
+def _stars(edges: DataFrame) -> bool:
+    """Whether every node is either a centre or has one link, that to its centre: then centres are the smallest nodes."""
+    ends = edges.select(F.col("y").alias("node"), F.lit(1).alias("up"), F.lit(0).alias("down"))
+    ends = ends.unionByName(edges.select(F.col("x").alias("node"), F.lit(0).alias("up"), F.lit(1).alias("down")))
+    of = ends.groupBy("node").agg(F.sum("up").alias("up"), F.max("down").alias("down"))
+    return of.where("up > 1 OR (up = 1 AND down = 1)").isEmpty()
 
 
 def _large(edges: DataFrame) -> DataFrame:
@@ -32,13 +36,8 @@ def components(links: DataFrame) -> DataFrame:
     """id, component (its smallest id) of every node of the links (x, y); links from a node to itself name it only."""
     edges = links.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).where("x <> y").distinct()
     edges = common.table(edges, "edges")
-    state = _state(edges)
-    while state[0]:
-        edges_next = common.table(_small(_large(edges)), "edges")
-        common.drop_table(edges)
-        edges, before = edges_next, state
-        state = _state(edges)
-        if state == before:
-            break
+    while not _stars(edges):
+        edges, before = common.table(_small(_large(edges)), "edges"), edges
+        common.drop_table(before)
     nodes = edges.select(F.col("y").alias("id"), F.col("x").alias("component"))
     return nodes.unionByName(edges.select(F.col("x").alias("id"), F.col("x").alias("component")).distinct())

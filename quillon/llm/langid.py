@@ -7,7 +7,9 @@ penalty for each further language, and the largest proportion of the chosen set
 
 Defined results: null texts and texts without a letter are ``und`` with score 0, as is every text when nothing could be
 learned. Ties go to the language that sorts first. Repeated rows get equal results. Other columns are ignored; rows
-with a null language or a null text teach nothing.
+with a null language or a null text teach nothing. An empty table gives no rows. A text of any length is inferred whole;
+its words are held at once. predict() replaces input columns of its outputs' names; identify() and the stage don't read
+such columns, and the stage leaves them as they are.
 """
 
 from __future__ import annotations
@@ -129,8 +131,8 @@ def infer(codes: np.ndarray, sizes: np.ndarray, score: np.ndarray) -> tuple[np.n
     return lang, np.clip(part, 0, 1)
 
 
-def predict(docs: DataFrame, model: tuple[list[str], np.ndarray], text_col: str = "text") -> DataFrame:
-    """The input with lang_pred and score."""
+def predict(docs: DataFrame, model: tuple[list[str], np.ndarray], text_col: str = "text", out: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
+    """The input with the predicted language and its score, in columns named by ``out``."""
     sent = common.broadcast_value(docs.sparkSession, model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -149,10 +151,11 @@ def predict(docs: DataFrame, model: tuple[list[str], np.ndarray], text_col: str
                     rows = full[part == k]
                     lang, sure = infer(codes[o[rows[0]] : o[rows[-1] + 1]], sizes[rows], score)
                     names[rows], scores[rows] = np.asarray(langs, object)[lang], sure
-            yield pa.RecordBatch.from_arrays([*(b.column(i) for i in range(b.num_columns)), pa.array(names, pa.string()), pa.array(scores)], [*b.schema.names, "lang_pred", "score"])
+            yield pa.RecordBatch.from_arrays([*(b.column(i) for i in range(b.num_columns)), pa.array(names, pa.string()), pa.array(scores)], [*b.schema.names, *out])
 
-    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema if f.name not in ("lang_pred", "score"))
-    return docs.drop("lang_pred", "score").mapInArrow(run, f"{kinds}, lang_pred string, score double")
+    own = docs.drop(*out)
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in own.schema)
+    return own.mapInArrow(run, f"{kinds}, `{out[0]}` string, `{out[1]}` double")
 
 
 def identify(docs: DataFrame) -> DataFrame:
@@ -169,7 +172,7 @@ def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 def keep_identified(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: documents go whose language is ``und`` or covers less than half of their words."""
     common.small_batches(spark)
-    rows = docs.withColumn("__held_out", common.fold("doc_id", 4) == 2)
-    model = fit(rows.where(~F.col("__held_out")))
-    judged = predict(docs, model)
-    return judged.where("lang_pred <> 'und' AND score >= 0.5").select(*docs.columns)
+    model = fit(docs.where(common.fold("doc_id", 4) != 2))
+    lang, score = common.fresh(docs, "lang_pred"), common.fresh(docs, "score")
+    judged = predict(docs, model, out=(lang, score))
+    return judged.where((F.col(lang) != "und") & (F.col(score) >= 0.5)).select(*docs.columns)

@@ -15,8 +15,11 @@ that changes a component is passed over: a pair that already is in one component
 many as a pair at the threshold does with a probability of all but ``MISS``; their full sets are compared.
 
 Defined results: null or wordless texts have the empty set, are linked with nothing and are kept. Rows with a null id are
-kept, with a null component. Rows that repeat an id are treated like any others. Other columns are ignored. Sets are
-compared by 64-bit hashes of their shingles.
+kept, with a null component, and link nothing. Rows that repeat an id are treated like any others: each is a node of its
+own, whatever its text. An empty table gives no rows; a very long text is one row of a batch, and its set is held whole.
+Other columns are ignored. Sets are compared by 64-bit hashes of their shingles.
+
+Tables that are written on the way are dropped after their last reader; two small ones, which the result reads, stay.
 """
 
 from __future__ import annotations
@@ -126,7 +129,7 @@ def planes(sketch: np.ndarray) -> np.ndarray:
 
 
 def sketched(docs: DataFrame, k: int, percent: int) -> DataFrame:
-    """doc_id, n (set size), a and b (128 bits that name the set), keys (of its bands) of each row."""
+    """row (a number of its own), doc_id, mark (of the text), n (set size), a and b (128 bits that name the set), keys (of its bands)."""
     number = bands(percent)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -140,9 +143,16 @@ def sketched(docs: DataFrame, k: int, percent: int) -> DataFrame:
                 found = band_keys(sketches(np.append(at[full], at[-1]), sets, number * ROWS), ROWS)
                 for row, x in zip(full, found):
                     keys[row] = x
-            yield pa.RecordBatch.from_arrays([b["doc_id"], pa.array(size.astype(np.int64)), pa.array(one), pa.array(two), pa.array(keys, pa.list_(pa.int64()))], ["doc_id", "n", "a", "b", "keys"])
+            own = [b["doc_id"], b["mark"], pa.array(size.astype(np.int64)), pa.array(one), pa.array(two), pa.array(keys, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays(own, ["doc_id", "mark", "n", "a", "b", "keys"])
+
+    rows = marked(docs).mapInArrow(run, "doc_id long, mark long, n long, a long, b long, keys array<long>")
+    return rows.withColumn("row", F.monotonically_increasing_id())
+
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, n long, a long, b long, keys array<long>")
+def marked(docs: DataFrame) -> DataFrame:
+    """doc_id, mark, text; rows that share an id have different marks if their texts differ."""
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("mark"), "text")
 
 
 def confirmed(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
@@ -179,8 +189,9 @@ def profiles(texts: DataFrame, k: int, percent: int) -> DataFrame:
     return texts.select("id", "text").mapInArrow(run, "id long, keys array<long>, planes array<long>")
 
 
-def tiled(left: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
-    """Pairs (x, y) of one bucket and different components whose longer sketches agree enough; left: key, id, component.
+def tiled(left: DataFrame, about: DataFrame, percent: int) -> DataFrame:
+    """Pairs (x, y) of one bucket and different components whose longer sketches agree enough; left: key, id, component;
+    about: profiles() of their texts.
 
     In each bucket only pairs without the component that is largest there, or with one side of it, are looked at: the
     others are pairs within that component.
@@ -193,7 +204,6 @@ def tiled(left: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
     each = lambda n: F.explode(F.sequence(F.lit(0), side(n) - 1))
     one = rows.where("component <> main").select("key", "id", "component", "main", F.lit(True).alias("small"), own("few").alias("s"), each("all").alias("t"))
     two = rows.select("key", "id", "component", "main", F.lit(False).alias("small"), own("all").alias("t"), each("few").alias("s"))
-    about = common.table(profiles(texts.join(left.select("id").distinct(), "id", "left_semi"), k, percent), "profiles")
     most = LONG - least_agreement(percent, LONG)
 
     def run(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -219,22 +229,10 @@ def tiled(left: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
     return one.unionByName(two).join(about, "id").groupBy("key", "s", "t").applyInArrow(run, "x long, y long")
 
 
-def groups(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
-    """doc_id, n_shingles, component_id, kept of every row."""
-    spark = docs.sparkSession
-    rows = common.table(sketched(docs, k, percent), "sketches")
-    named = rows.where("n > 0 AND doc_id IS NOT NULL")
-    classes = named.groupBy("a", "b", "n").agg(F.min("doc_id").alias("id"), F.first("keys").alias("keys"))
-    members = classes.select("id", F.explode("keys").alias("key"))
-    shared = members.groupBy("key").agg(F.min("id").alias("low"), F.max("id").alias("high")).where("low < high")
-    hits = common.table(members.join(shared, "key").select("key", "id"), "buckets")
-    common.release(spark)
-    wanted = hits.select("id").distinct()
-    texts = common.table(docs.select(F.col("doc_id").cast("long").alias("id"), "text").join(wanted, "id", "left_semi").dropDuplicates(["id"]), "texts")
-    common.release(spark)
-
+def linked(hits: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame | None:
+    """id, component of all classes that confirmed links join (None: no link); hits: key, id of classes that share a bucket."""
     labels = hits.select("id").limit(0).select("id", F.col("id").alias("component"))
-    links = checked = None
+    checked, known = [], None
     for turn in range(STARS + 1):
         now = hits.join(labels, "id", "left").select("key", "id", F.coalesce("component", "id").alias("component"))
         mixed = now.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.min_by("id", F.xxhash64("id", F.lit(turn))).alias("any"), F.min("id").alias("least")).where("low < high")
@@ -244,25 +242,67 @@ def groups(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
             centres = centres.select("key", "centre", F.coalesce("at", "centre").alias("at"))
             met = now.join(centres, "key").where("component <> at").select(F.least("id", "centre").alias("x"), F.greatest("id", "centre").alias("y"))
         else:
-            met = tiled(now.join(mixed.select("key"), "key", "left_semi"), texts, k, percent)
+            left = now.join(mixed.select("key"), "key", "left_semi")
+            about = common.table(profiles(texts.join(left.select("id").distinct(), "id", "left_semi"), k, percent), "profiles")
+            met = tiled(left, about, percent)
         pairs = met.distinct()
-        if checked is not None:
-            pairs = pairs.join(checked, ["x", "y"], "left_anti")
+        for before in checked:
+            pairs = pairs.join(before, ["x", "y"], "left_anti")
         pairs = common.table(pairs, "pairs")
+        checked.append(pairs)
+        if turn == STARS:
+            common.drop_table(about)
         if pairs.isEmpty():
-            if turn == STARS or mixed.isEmpty():
-                break
             continue
-        checked = pairs if checked is None else checked.unionByName(pairs)
-        new = common.table(confirmed(pairs, texts, k, percent), "links")
-        links = new if links is None else links.unionByName(new)
-        labels = common.table(components(links), "labels")
-        common.release(spark)
-    joined = named.select("a", "b", "n", "doc_id").groupBy("a", "b", "n").agg(F.min("doc_id").alias("id")).join(labels, "id", "left")
-    joined = joined.select("a", "b", "n", F.coalesce("component", "id").alias("component"))
-    out = rows.select("doc_id", "n", "a", "b").join(joined, ["a", "b", "n"], "left")
+        links = common.table(confirmed(pairs, texts, k, percent), "links")
+        if not links.isEmpty():  # a component that is known counts as the star of its least class
+            stars = links if known is None else links.unionByName(known.select(F.col("component").alias("x"), F.col("id").alias("y")))
+            known, before = common.table(components(stars), "labels"), known
+            labels = known
+            if before is not None:
+                common.drop_table(before)
+        common.drop_table(links)
+        common.release(hits.sparkSession)
+    for pairs in checked:
+        common.drop_table(pairs)
+    return known
+
+
+def assigned(docs: DataFrame, k: int, percent: int) -> DataFrame:
+    """doc_id, mark, n_shingles, component_id, kept of every row."""
+    rows = common.table(sketched(docs, k, percent), "sketches")
+    named = rows.where("n > 0 AND doc_id IS NOT NULL")
+    classes = named.groupBy("a", "b", "n").agg(F.min("row").alias("id"), F.first("keys").alias("keys"))
+    members = classes.select("id", F.explode("keys").alias("key"))
+    shared = members.groupBy("key").agg(F.min("id").alias("low"), F.max("id").alias("high")).where("low < high")
+    hits = common.table(members.join(shared, "key").select("key", "id"), "buckets")
+    common.release(docs.sparkSession)
+    whose = rows.select(F.col("row").alias("id"), "doc_id", "mark").join(hits.select("id").distinct(), "id")
+    texts = marked(docs).join(whose, ["doc_id", "mark"]).dropDuplicates(["doc_id", "mark"]).select("id", "text")
+    texts = common.table(texts, "texts")
+    common.release(docs.sparkSession)
+    labels = linked(hits, texts, k, percent)
+    for used in (hits, texts):
+        common.drop_table(used)
+    # what a class and its component need to say: the smallest doc_id
+    least = named.groupBy("a", "b", "n").agg(F.min("row").alias("id"), F.min("doc_id").alias("least"), F.count("*").alias("rows"))
+    if labels is None:
+        said = least.where("rows > 1").select("a", "b", "n", F.col("least").alias("component"))
+    else:
+        with_label = least.join(labels, "id", "left")
+        lowest = with_label.where("component IS NOT NULL").groupBy("component").agg(F.min("least").alias("lowest"))
+        said = with_label.join(lowest, "component", "left").where("rows > 1 OR lowest IS NOT NULL").select("a", "b", "n", F.coalesce("lowest", "least").alias("component"))
+    said = common.table(said, "said")
+    if labels is not None:
+        common.drop_table(labels)
+    out = rows.select("doc_id", "mark", "n", "a", "b").join(said, ["a", "b", "n"], "left")
     own = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id"))
-    return out.select("doc_id", F.col("n").alias("n_shingles"), own.alias("component_id"), F.coalesce(F.col("doc_id") == own, F.lit(True)).alias("kept"))
+    return out.select("doc_id", "mark", F.col("n").alias("n_shingles"), own.alias("component_id"), F.coalesce(F.col("doc_id") == own, F.lit(True)).alias("kept"))
+
+
+def groups(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
+    """doc_id, n_shingles, component_id, kept of every row."""
+    return assigned(docs, k, percent).drop("mark")
 
 
 def op9_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -270,7 +310,12 @@ def op9_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def keep_one_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: of each group of near-duplicates (five words, 0.8) the document with the smallest id stays."""
+    """Pipeline stage: of each group of near-duplicates (five words, 0.8) the document with the smallest id stays.
+
+    Rows without words or id stay, as do all rows of the id that stays if they are of its group.
+    """
     common.small_batches(spark)
-    gone = groups(docs.select("doc_id", "text")).where(~F.col("kept")).select("doc_id")
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    name, mark = common.fresh(docs, "gone"), common.fresh(docs, "mark")
+    gone = assigned(docs.select("doc_id", "text"), 5, 80).where(~F.col("kept")).select(F.col("doc_id").alias(name), F.col("mark").alias(mark)).distinct()
+    of = (F.col("doc_id").cast("long") == F.col(name)) & (F.xxhash64("text") == F.col(mark))
+    return docs.join(gone, of, "left_anti").select(*docs.columns)

@@ -7,10 +7,12 @@ once, with their smallest document. A shard holds an FM-index over its segments,
 it by backward search: matching statistics cut at the window's length give each window's smallest document. Runs of windows with a
 smaller document than a segment's own become the intervals of that document that are removed.
 
-Segments of an anchor with more than ``GROUP`` different texts are indexed in parts, and streamed through each part.
+Segments of an anchor with more than ``GROUP`` different texts are indexed in parts, and streamed through each part: a task
+holds one index of about ``SHARD`` segments and one batch of those that are searched in it, however many there are.
 
 Defined results: null texts have no words. Rows with a null id are neither changed nor a source. Rows that share an id
-are no sources for each other, and keep their texts apart. Kept words are joined by one space. Other columns are ignored.
+are no sources for each other, and keep their texts apart. Kept words are joined by one space. An empty table gives no
+rows. A text of any length is looked at whole, in pieces of at most ``MOST`` words. Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -30,8 +32,10 @@ from quillon.llm.fmindex import FMIndex
 WINDOW = 50
 GRAM = 8
 GROUP = 4096
-#: Segments of a shard, about.
+#: Segments that share an index, about.
 SHARD = 8192
+#: Words whose windows are looked at together.
+MOST = (1 << 24) - 1
 MISSING = np.iinfo(np.int64).max
 B = np.uint64(0x9E3779B97F4A7C15)
 
@@ -42,16 +46,29 @@ def _powers(n: int, base: np.uint64) -> np.ndarray:
     return np.cumprod(out, dtype=np.uint64)
 
 
-def segments(texts: pa.Array, window: int, gram: int) -> tuple[np.ndarray, ...]:
-    """Row, first window, number of windows, anchor and content of all segments."""
+def segments(texts: pa.Array, window: int, gram: int, most: int = MOST) -> tuple[np.ndarray, ...]:
+    """Row, first window, number of windows, anchor and content of all segments; words are worked on ``most`` at a time."""
     o, flat = common.split_words(texts)
     codes, distinct = common.coded(flat)
     words = common.hash_strings(distinct)[codes] if len(codes) else np.zeros(0, np.uint64)
+    if len(words) <= most:
+        return _segments(o, words, window, gram)
+    # pieces of texts that overlap by a window less a word hold each window once; a segment cut in two is two segments
+    out, step = [], max(most // 2 - window + 1, 1)
+    for row, (i, j) in enumerate(zip(o[:-1].tolist(), o[1:].tolist())):
+        for at in range(i, max(j - window + 1, i), step):
+            own = words[at : min(at + step + window - 1, j)]
+            _, start, *rest = _segments(np.array([0, len(own)]), own, window, gram)
+            out.append((np.full(len(start), row), start + at - i, *rest))
+    return tuple(np.concatenate(x) for x in zip(*out)) if out else (np.zeros(0, np.int64),) * 5
+
+
+def _segments(o: np.ndarray, words: np.ndarray, window: int, gram: int) -> tuple[np.ndarray, ...]:
+    """As segments(), of texts whose words' hashes start at o; at most ``MOST`` words, as keys hold places in 24 bits."""
     n, size = len(words), np.diff(o)
     count = np.maximum(size - window + 1, 0)
     if not count.sum():
         return (np.zeros(0, np.int64),) * 5
-    assert n < 1 << 24
     grams = np.zeros(n, np.uint64)
     for j in range(gram):
         grams[: n - j] = common.mix(grams[: n - j] * B + words[j:])
@@ -114,51 +131,87 @@ def cut(docs: DataFrame, wanted: DataFrame, window: int) -> DataFrame:
     return docs.join(lists, ["doc_id", "mark"]).select("doc_id", "text", "of").mapInArrow(run, "anchor long, content long, number int, parts int, owner long, words string")
 
 
+class Shard:
+    """An FM-index over segments (rows of anchor, content, number, owner, words)."""
+
+    def __init__(self, rows: pa.Table, window: int):
+        self.window = window
+        offsets, words = common.split_words(common.strings(rows["words"]))
+        codes, self.names = common.coded(words)
+        self.index = FMIndex(codes + 1, offsets, rows["owner"].to_numpy(), window, len(self.names) + 1)
+
+    def search(self, rows: pa.Table) -> pa.RecordBatch:
+        """anchor, content, number, runs of the rows; words that the index does not hold are 0."""
+        offsets, words = common.split_words(common.strings(rows["words"]))
+        codes, distinct = common.coded(words)
+        known = pc.index_in(distinct, value_set=self.names).fill_null(-1).to_numpy(zero_copy_only=False).astype(np.int64) + 1
+        least = self.index.matches(known[codes], offsets, MISSING)
+        count = np.diff(offsets) - self.window + 1
+        row = np.repeat(np.arange(len(count)), count)
+        new = np.ones(len(least), bool)
+        new[1:] = (least[1:] != least[:-1]) | (row[1:] != row[:-1])
+        first = np.flatnonzero(new)
+        length = np.diff(np.append(first, len(least)))
+        begin = first - (np.cumsum(count) - count)[row[first]]
+        good = least[first] != MISSING
+        first, length, begin = first[good], length[good], begin[good]
+        runs = pa.StructArray.from_arrays([pa.array(begin.astype(np.int32)), pa.array((begin + length).astype(np.int32)), pa.array(least[first])], ["first", "end", "owner"])
+        lists = pa.ListArray.from_arrays(pa.array(np.searchsorted(row[first], np.arange(len(count) + 1)).astype(np.int32)), runs)
+        return pa.RecordBatch.from_arrays([*(rows[c].combine_chunks() for c in ("anchor", "content", "number")), lists], ["anchor", "content", "number", "runs"])
+
+
+def blocks(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[tuple[pa.Table, bool]]:
+    """Rows sorted by (anchor, part), those of the part's own first, in tables, and whether a table begins a new index.
+
+    A table that begins one holds whole groups, or all own rows of a group of more than ``size`` and some of its others; tables that
+    follow it without beginning one hold others of that group.
+    """
+    held, n, last, streamed = [], 0, None, False  # last: the group of the last row; streamed: its index is made
+
+    def key(b: pa.RecordBatch, i: int) -> tuple:
+        return b["anchor"][i].as_py(), b["part"][i].as_py()
+
+    for b in batches:
+        if not b.num_rows:
+            continue
+        a, p = b["anchor"].to_numpy(), b["part"].to_numpy()
+        cuts = np.concatenate(([0], np.flatnonzero((a[1:] != a[:-1]) | (p[1:] != p[:-1])) + 1, [b.num_rows]))
+        for i, j in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
+            rows = b.slice(i, j - i)
+            if key(rows, 0) != last:
+                if n >= size and not streamed:
+                    yield pa.Table.from_batches(held), True
+                    held, n = [], 0
+                last, streamed, begun = key(rows, 0), False, n
+            if streamed:
+                yield pa.Table.from_batches([rows]), False
+                continue
+            held.append(rows)
+            n += rows.num_rows
+            if n - begun >= size and not rows["own"][rows.num_rows - 1].as_py():  # all own rows have come
+                yield pa.Table.from_batches(held), True
+                held, n, streamed = [], 0, True
+    if held:
+        yield pa.Table.from_batches(held), True
+
+
 def searched(texts: DataFrame, shards: int, window: int) -> DataFrame:
     """anchor, content, number, runs (first window, end, least owner): the segments streamed through the shards' indexes."""
     part = F.pmod(F.xxhash64("content"), F.col("parts"))
     rows = texts.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).withColumn("own", part == F.col("part"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = [b for b in batches if b.num_rows]
-        if not held:
-            return
-        t = pa.Table.from_batches(held).combine_chunks()
-        del held
-        offsets, words = common.split_words(common.strings(t["words"]))
-        codes, _ = common.coded(words)
-        owner = t["owner"].to_numpy()
-        group, own = np.unique(np.stack((t["anchor"].to_numpy(), t["part"].to_numpy().astype(np.int64))), axis=1, return_inverse=True)[1], t["own"].to_numpy().astype(bool)
-        # groups of a shard share an index, up to its size; different anchors have no window in common
-        order = np.argsort(group.ravel(), kind="stable")
-        block = np.searchsorted(np.arange(SHARD, len(order) + SHARD, SHARD), np.searchsorted(group.ravel()[order], group.ravel()[order]), side="right")
-        for k in np.unique(block):
-            some = order[block == k]
-            size = np.diff(offsets)[some]
-            text = codes[common.gather(offsets[some], size)]
-            at = np.concatenate(([0], np.cumsum(size)))
-            kept = own[some]
-            held_text = codes[common.gather(offsets[some[kept]], size[kept])]
-            names, local = np.unique(held_text, return_inverse=True)
-            index = FMIndex(local + 1, np.concatenate(([0], np.cumsum(size[kept]))), owner[some[kept]], window, len(names) + 1)
-            place = np.minimum(np.searchsorted(names, text), max(len(names) - 1, 0))
-            query = np.where(names[place] == text, place + 1, 0) if len(names) else np.zeros(len(text), np.int64)
-            least = index.matches(query, at, MISSING)
-            count = size - window + 1
-            row = np.repeat(np.arange(len(some)), count)
-            new = np.ones(len(least), bool)
-            new[1:] = (least[1:] != least[:-1]) | (row[1:] != row[:-1])
-            first = np.flatnonzero(new)
-            length = np.diff(np.append(first, len(least)))
-            begin = first - (np.cumsum(count) - count)[row[first]]
-            good = least[first] != MISSING
-            first, length, begin = first[good], length[good], begin[good]
-            runs = pa.StructArray.from_arrays([pa.array(begin.astype(np.int32)), pa.array((begin + length).astype(np.int32)), pa.array(least[first])], ["first", "end", "owner"])
-            lists = pa.ListArray.from_arrays(pa.array(np.searchsorted(row[first], np.arange(len(some) + 1)).astype(np.int32)), runs)
-            out = t.select(["anchor", "content", "number"]).take(pa.array(some)).combine_chunks()
-            yield pa.RecordBatch.from_arrays([*(out[c].combine_chunks() for c in ("anchor", "content", "number")), lists], ["anchor", "content", "number", "runs"])
-
-    return rows.repartition(shards, "anchor", "part").select("anchor", "content", "number", "part", "own", "owner", "words").mapInArrow(run, "anchor long, content long, number int, runs array<struct<first:int,end:int,owner:long>>")
+        shard = None
+        for t, new in blocks(common.lean(batches), SHARD):
+            if new:  # different anchors have no window in common, so groups can share an index
+                shard = None
+                shard = Shard(t.filter(t["own"]), window)
+            for i in range(0, t.num_rows, SHARD):
+                yield shard.search(t.slice(i, SHARD).combine_chunks())
+
+    dealt = rows.repartition(shards, "anchor", "part").sortWithinPartitions("anchor", "part", F.desc("own"))
+    dealt = dealt.select("anchor", "content", "number", "part", "own", "owner", "words")
+    return dealt.mapInArrow(run, "anchor long, content long, number int, runs array<struct<first:int,end:int,owner:long>>")
 
 
 def repeated(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFrame:

@@ -11,13 +11,16 @@ round. Features are hashed words and word beginnings: that a text holds one, two
 Fitting uses at most ``MOST_POSITIVE`` and about ``MOST_UNLABELLED`` rows, chosen by a hash of doc_id; scoring covers all rows.
 
 Defined results: empty and null texts get the intercept's score; without positives every score is 0. Repeated rows get
-equal scores; label rows without a document, or with a null id or mark, teach nothing; other columns are ignored.
+equal scores; label rows without a document, or with a null id or mark, teach nothing; other columns are ignored. An
+empty table gives no rows; texts of any length are read whole. predict() replaces input columns of its outputs' names;
+the stage leaves such columns as they are.
 """
 
 from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -75,23 +78,17 @@ def levelled(rows: np.ndarray, buckets: np.ndarray) -> tuple[np.ndarray, np.ndar
     return np.concatenate([x >> BITS for x in each]), np.concatenate([(x & ((1 << BITS) - 1)) + (k << BITS) for k, x in enumerate(each)])
 
 
-def features(docs: DataFrame) -> DataFrame:
-    """positive, features (distinct buckets) of each row."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in common.lean(batches):
-            at, codes, distinct = distinct_words(common.strings(b["text"]))
-            each = word_features(distinct)[codes] if len(codes) else np.zeros((0, 1), np.int64)
-            row, feature = levelled(np.repeat(np.repeat(np.arange(b.num_rows), np.diff(at)), each.shape[1]), each.ravel())
-            order = np.argsort(row, kind="stable")
-            rows = np.split(feature[order].astype(np.int32), np.searchsorted(row[order], np.arange(1, b.num_rows)))
-            yield pa.RecordBatch.from_arrays([b["positive"], pa.array(rows, pa.list_(pa.int32()))], ["positive", "features"])
-
-    return docs.select("text", "positive").mapInArrow(run, "positive boolean, features array<int>")
+def features(texts: pa.Array) -> list[np.ndarray]:
+    """Features of each text."""
+    at, codes, distinct = distinct_words(texts)
+    each = word_features(distinct)[codes] if len(codes) else np.zeros((0, 1), np.int64)
+    row, feature = levelled(np.repeat(np.repeat(np.arange(len(texts)), np.diff(at)), each.shape[1]), each.ravel())
+    order = np.argsort(row, kind="stable")
+    return np.split(feature[order].astype(np.int32), np.searchsorted(row[order], np.arange(1, len(texts))))
 
 
 def select(rows: list[np.ndarray], positive: np.ndarray) -> np.ndarray:
-    """Buckets that mark positives clearly, in order."""
+    """Features that mark positives clearly, in order."""
     n_pos, n_unl = max(positive.sum(), 1), max((~positive).sum(), 1)
     df = np.zeros((2, WIDTH), np.int32)
     for r, p in zip(rows, positive):
@@ -104,7 +101,7 @@ def select(rows: list[np.ndarray], positive: np.ndarray) -> np.ndarray:
 
 
 def nn_pu(rows: list[np.ndarray], positive: np.ndarray, prior: float, chosen: np.ndarray) -> tuple[np.ndarray, float]:
-    """Weights of the chosen buckets and the intercept, by Adam on the non-negative risk with logistic loss."""
+    """Weights of the chosen features and the intercept, by Adam on the non-negative risk with logistic loss."""
     place = np.full(WIDTH, -1, np.int32)
     place[chosen] = np.arange(len(chosen))
     cut = [place[r] for r in rows]
@@ -129,73 +126,95 @@ def nn_pu(rows: list[np.ndarray], positive: np.ndarray, prior: float, chosen: np
     return w[:-1], w[-1]
 
 
-def fit(docs: DataFrame, labels: DataFrame) -> np.ndarray:
-    """Weights by feature, and last the intercept (3 * 2^20 + 1 numbers). Learns from rows outside the held-out fold."""
+class Model(NamedTuple):
+    """Features that have a weight, in order; their weights; the intercept."""
+
+    chosen: np.ndarray
+    weights: np.ndarray
+    bias: float
+
+
+NOTHING = Model(np.zeros(0, np.int64), np.zeros(0), -40.0)
+
+
+def learned(sample: DataFrame, prior: float) -> Model:
+    """The model of a bounded sample (text, positive), fitted in one task of an executor; the driver gets its weights only."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found: dict[tuple[bytes, bool], np.ndarray] = {}  # a text that was copied counts once
+        for b in common.lean(batches):
+            for r, p in zip(features(common.strings(b["text"])), b["positive"].to_pylist()):
+                found[hashlib.blake2b(r.tobytes(), digest_size=16).digest(), p] = r
+        keys = sorted(found)  # whatever order the rows come in
+        rows, positive = [found[k] for k in keys], np.array([p for _, p in keys], bool)
+        if positive.any() and not positive.all():
+            chosen = select(rows, positive)
+            w, bias = nn_pu(rows, positive, prior, chosen)
+            yield pa.RecordBatch.from_arrays([pa.array(np.append(chosen, -1)), pa.array(np.append(w, bias))], ["feature", "weight"])
+
+    t = sample.repartition(1).mapInArrow(run, "feature long, weight double").toArrow()
+    if not t.num_rows:
+        return NOTHING
+    f, w = t["feature"].to_numpy(), t["weight"].to_numpy()
+    return Model(f[f >= 0], w[f >= 0], float(w[f < 0][0]))
+
+
+def fit(docs: DataFrame, labels: DataFrame) -> Model:
+    """The model; learns from rows outside the held-out fold."""
     known = labels.where("doc_id IS NOT NULL AND toxic IS NOT NULL").where(common.fold("doc_id", FOLDS) != 0)
     share = known.agg(F.avg((F.col("toxic") == 1).cast("double"))).first()[0] or 0.0
-    ids = [r[0] for r in known.where("toxic = 1").select("doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(MOST_POSITIVE).collect()]
-    weights = np.zeros(WIDTH + 1, np.float32)
-    weights[-1] = -40.0
+    ids = known.where("toxic = 1").select("doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(MOST_POSITIVE)
+    ids = [r[0] for r in ids.collect()]
     if not ids:
-        return weights
+        return NOTHING
     spark = docs.sparkSession
     open_ = docs.where(F.col("doc_id").isNotNull() & (common.fold("doc_id", FOLDS) != 0)).select("doc_id", "text")
     chosen = spark.createDataFrame([(i, True) for i in ids], f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, positive boolean")
     rate = min(1.0, MOST_UNLABELLED / max(open_.count(), 1))
     drawn = F.pmod(F.xxhash64(F.col("doc_id"), F.lit(7)), F.lit(1_000_003)) < int(rate * 1_000_003) + (rate >= 1)
     sample = open_.join(F.broadcast(chosen), "doc_id", "left").withColumn("positive", F.coalesce("positive", F.lit(False))).where(drawn | F.col("positive"))
-    t = features(sample).toArrow()
-    positive = t["positive"].to_numpy().astype(bool)
-    lists = t["features"].combine_chunks()
-    o, flat = lists.offsets.to_numpy(), lists.values.to_numpy()
-    rows = [flat[i:j] for i, j in zip(o[:-1], o[1:])]
-    first: dict[tuple[bytes, bool], int] = {}
-    for i, (r, p) in enumerate(zip(rows, positive)):  # a text that was copied counts once
-        first.setdefault((hashlib.blake2b(r.tobytes(), digest_size=16).digest(), bool(p)), i)
-    rows, positive = [rows[i] for i in first.values()], positive[list(first.values())]
-    if not positive.any() or positive.all():
-        return weights
-    chosen = select(rows, positive)
-    w, bias = nn_pu(rows, positive, min(max(share, 1e-3), 0.5), chosen)
-    weights[chosen], weights[-1] = w, bias
-    return weights
-
-
-def predict(docs: DataFrame, weights: np.ndarray) -> DataFrame:
-    """The input with score and predicted."""
-    sent = common.broadcast_value(docs.sparkSession, weights)
+    return learned(sample.select("text", "positive"), min(max(share, 1e-3), 0.5))
+
+
+def predict(docs: DataFrame, model: Model, out: tuple[str, str] = ("score", "predicted")) -> DataFrame:
+    """The input with the score and the prediction, in columns named by ``out``."""
+    sent = common.broadcast_value(docs.sparkSession, tuple(model))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        w = sent.value.astype(np.float64)
+        model = Model(*sent.value)
+        w = np.zeros(WIDTH)
+        w[model.chosen] = model.weights
+        weighty = np.zeros(1 << BITS, bool)
+        weighty[model.chosen & ((1 << BITS) - 1)] = True
         for b in common.lean(batches):
             at, codes, distinct = distinct_words(common.strings(b["text"]))
-            total = np.full(b.num_rows, w[-1])
+            total = np.full(b.num_rows, model.bias)
             if len(codes):
                 f = word_features(distinct)
-                any_ = (w[:-1].reshape(LEVELS, -1) != 0).any(axis=0)
-                marks = np.flatnonzero((any_[f] & (f >= 0)).any(axis=1))  # few words carry any weight
+                marks = np.flatnonzero((weighty[f] & (f >= 0)).any(axis=1))  # few words carry any weight
                 hit = np.flatnonzero(np.isin(codes, marks))
                 of = np.searchsorted(at, hit, side="right") - 1
                 each = f[codes[hit]]
                 row, feature = levelled(np.repeat(of, each.shape[1]), each.ravel())
                 total += np.bincount(row, w[feature], b.num_rows)
             p = 1 / (1 + np.exp(-np.clip(total, -40, 40)))
-            yield pa.RecordBatch.from_arrays([*(b.column(i) for i in range(b.num_columns)), pa.array(p), pa.array((p >= 0.5).astype(np.int32))], [*b.schema.names, "score", "predicted"])
+            yield pa.RecordBatch.from_arrays([*(b.column(i) for i in range(b.num_columns)), pa.array(p), pa.array((p >= 0.5).astype(np.int32))], [*b.schema.names, *out])
 
-    own = docs.drop("score", "predicted")
+    own = docs.drop(*out)
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in own.schema)
-    return own.mapInArrow(run, f"{kinds}, score double, predicted int")
+    return own.mapInArrow(run, f"{kinds}, `{out[0]}` double, `{out[1]}` int")
 
 
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = common.documents(spark, sf_dir)
-    weights = fit(docs, common.documents(spark, sf_dir, "labels"))
+    model = fit(docs, common.documents(spark, sf_dir, "labels"))
     rows = docs.select("doc_id", "text", (common.fold("doc_id", FOLDS) == 0).alias("held_out"))
-    return predict(rows, weights).drop("text")
+    return predict(rows, model).drop("text")
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: documents with a score of 0.5 or more go."""
     common.small_batches(spark)
-    weights = fit(docs, common.documents(spark, sf_dir, "labels"))
-    return predict(docs, weights).where("predicted = 0").select(*docs.columns)
+    model = fit(docs, common.documents(spark, sf_dir, "labels"))
+    out = common.fresh(docs, "score"), common.fresh(docs, "predicted")
+    return predict(docs, model, out).where(F.col(out[1]) == 0).select(*docs.columns)

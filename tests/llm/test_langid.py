@@ -1,4 +1,7 @@
+import math
+import random
 import zlib
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -50,3 +53,61 @@ def test_shares_of_four_and_more_languages_are_not_rescaled():
         codes = np.repeat(np.arange(k), np.array(shares) * 4)
         lang, part = langid.infer(codes, np.array([len(codes)]), score)
         assert lang[0] == 0 and abs(part[0] - shares[0] / 100) < 0.01
+
+
+def plain(words, tables):
+    """Language and score of one text by a plain loop; tables: of each language the log-likelihood of each word."""
+    names = sorted(tables)
+    like = [[math.exp(tables[k][w] - max(tables[j][w] for j in names)) for k in names] for w in words]
+    like = [[max(x, 1e-12) for x in row] for row in like]
+
+    def step(share):
+        joint = [[p * x for p, x in zip(share, row)] for row in like]
+        total = [sum(row) for row in joint]
+        return [sum(row[k] / t for row, t in zip(joint, total)) / len(words) for k in range(len(names))], sum(map(math.log, total))
+
+    share = [1 / len(names)] * len(names)
+    for _ in range(langid.ROUNDS):
+        share = [max(x, 1e-9) for x in step(share)[0]]
+    single = [sum(tables[k][w] - max(tables[j][w] for j in names) for w in words) for k in names]
+    best = max(single)
+    lang, kept = single.index(best), None
+    order = sorted(range(len(names)), key=lambda k: -share[k])
+    for n in range(2, len(names) + 1):
+        own = [max(share[k], 1e-12) if k in order[:n] else 0.0 for k in range(len(names))]
+        own = step([x / sum(own) for x in own])[0]
+        gain = step(own)[1] - (n - 1) * (langid.PENALTY + 0.5 * math.log(len(words)))
+        if gain > best:
+            best, kept = gain, own
+    if kept is None:
+        two = sorted(single)[-2:]
+        return names[lang], 1 / (1 + math.exp(-min(two[1] - two[0], 40)))
+    return names[kept.index(max(kept))], max(kept)
+
+
+def test_predictions_follow_a_plain_mixture(spark):
+    rnd = random.Random(5)
+    vocab = {k: ["".join(rnd.choice(letters) for _ in range(rnd.randint(2, 7))) for _ in range(40)] for k, letters in (("aa", "abcde"), ("bb", "defgh"), ("cc", "ghijk"))}
+    rows = [(4 * i + k, " ".join(rnd.choices(vocab[lang], k=rnd.randint(1, 30))), lang) for i in range(20) for k, lang in enumerate(vocab)]
+    rows += [(1000 + i, " ".join(rnd.choices(vocab["aa"], k=20) + rnd.choices(vocab["bb"], k=rnd.choice([2, 10, 19]))), None) for i in range(30)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    seen = {}
+    for i, t, lang in rows:
+        if zlib.crc32(str(i).encode()) % 4 != 2 and lang:
+            own = seen.setdefault(lang, Counter())
+            for w in t.split():
+                own.update(langid.trigrams(pa.array([w]))[0].tolist())
+    log = {k: (lambda b, c=c: math.log((c[b] + langid.SMOOTHING) / (sum(c.values()) + langid.SMOOTHING * 2**langid.BITS))) for k, c in seen.items()}
+    words = {w for _, t, _ in rows for w in t.split()}
+    tables = {k: {w: sum(map(f, langid.trigrams(pa.array([w]))[0].tolist())) for w in words} for k, f in log.items()}
+    got = {r.doc_id: (r.lang_pred, r.score) for r in langid.identify(df).collect()}
+    for i, t, _ in rows:
+        lang, score = plain(t.split(), tables)
+        assert got[i][0] == lang and abs(got[i][1] - score) < 1e-3
+
+
+def test_columns_of_the_user_stay(spark):
+    rows = [(i, "the cat sat on the mat " * 3, "en", "mine", 7) for i in range(8)] + [(9, "le chat est sur la table", "fr", "mine", 7)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, score string, lang_pred int")
+    got = langid.keep_identified(spark, df, "")
+    assert got.dtypes == df.dtypes and {(r.score, r.lang_pred) for r in got.collect()} == {("mine", 7)}

@@ -88,6 +88,23 @@ def test_edges_of_the_input(spark):
     assert neardup.groups(df.limit(0), 3, 85).count() == 0
 
 
+def test_rows_that_repeat_an_id_are_nodes_of_their_own(spark):
+    word = lambda k, n=101: ["%s%d" % (k, i) for i in range(n)]
+    a, b = word("a"), word("b")
+    rows = [(1, " ".join(b)), (1, " ".join(a)), (2, " ".join(["z", *a[1:]])), (5, " ".join(["y", *b[1:]])), (5, "alone in the world"), (7, "alone in the world")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    out = sorted((r.doc_id, r.n_shingles, r.component_id, r.kept) for r in neardup.groups(df, 3, 85).collect())
+    assert out == [(1, 99, 1, True), (1, 99, 1, True), (2, 99, 1, False), (5, 2, 5, True), (5, 99, 1, False), (7, 2, 5, False)]
+    kept = sorted((r.doc_id, r.text[:5]) for r in neardup.keep_one_each(spark, df.selectExpr("*", "1 AS mark", "2 AS gone"), "").collect())
+    assert kept == [(1, "a0 a1"), (1, "b0 b1"), (5, "alone")]
+
+
+def test_very_long_text(spark):
+    words = ["w%d" % (i * i % 99_991) for i in range(300_000)]
+    df = spark.createDataFrame([(1, " ".join(words)), (2, " ".join(words[:-9])), (3, "w1 w2 w3")], "doc_id long, text string")
+    assert [got(neardup.groups(df))[i][1] for i in (1, 2, 3)] == [1, 1, 3]
+
+
 def test_sketches_estimate_similarity_and_fill():
     rnd = np.random.default_rng(0)
     base = rnd.integers(0, 2**63, 3000).astype(np.uint64)

@@ -3,6 +3,7 @@ import random
 import re
 
 import numpy as np
+import pyarrow as pa
 
 from quillon.llm import fmindex, substring
 
@@ -54,7 +55,7 @@ def test_follows_brute_force(spark, monkeypatch):
     df = spark.createDataFrame([(i, t, 1) for i, t in rows], "doc_id long, text string, mark_ int").drop("mark_")
     assert got(substring.removal(df)) == brute(rows)
     monkeypatch.setattr(substring, "GROUP", 2)  # parts of a hot anchor
-    monkeypatch.setattr(substring, "SHARD", 16)
+    monkeypatch.setattr(substring, "SHARD", 128)
     assert got(substring.removal(df)) == brute(rows)
     assert substring.removal(df.limit(0)).count() == 0
 
@@ -92,3 +93,40 @@ def test_whole_table(spark, sf):
     out = substring.op3_substring_dedup(spark, sf).collect()
     assert sorted((str(r.doc_id), r.n_words, r.n_removed, r.kept_sha256) for r in out) == brute(rows)
     assert sum(r.n_removed for r in out)
+
+
+def test_texts_beyond_the_limit_are_looked_at_in_pieces():
+    rnd = random.Random(6)
+    texts = pa.array([" ".join(rnd.choices("abcdefgh", k=n)) for n in (700, 0, 49, 50, 130, 260)])
+    whole, cut = substring.segments(texts, 50, 8), substring.segments(texts, 50, 8, 120)
+
+    def windows(found):  # each window with its anchor, however segments are cut
+        row, start, number, anchor, _ = found
+        return sorted((int(r), int(s) + k, int(a)) for r, s, n, a in zip(row, start, number, anchor) for k in range(n))
+
+    assert windows(whole) == windows(cut) and len(windows(cut)) == 651 + 1 + 81 + 211
+
+
+def test_shards_stay_bounded_and_find_what_one_index_finds():
+    rnd = random.Random(7)
+    base = ["w%d" % i for i in range(90)]
+    rows = []
+    for anchor, size in ((1, 3), (2, 60), (3, 5), (4, 2)):
+        for k in range(size):
+            w = [f"{anchor}.{x}" for x in base[:70]]
+            w[rnd.choice([0, 1, 68, 69])] = "x%d" % rnd.randrange(3)
+            rows += [(anchor, 100 * anchor + k, 21, part, part == k % 2, 1000 * anchor + rnd.randrange(500), " ".join(w)) for part in (0, 1)]
+    rows.sort(key=lambda r: (r[0], r[3], not r[4]))
+    schema = pa.schema([("anchor", pa.int64()), ("content", pa.int64()), ("number", pa.int32()), ("part", pa.int32()), ("own", pa.bool_()), ("owner", pa.int64()), ("words", pa.string())])
+    whole = pa.Table.from_pylist([dict(zip(schema.names, r)) for r in rows], schema)
+
+    def run(size):
+        out, shard, most = [], None, 0
+        for t, new in substring.blocks(iter(whole.to_batches(max_chunksize=7)), size):
+            if new:
+                shard = substring.Shard(t.filter(t["own"]), 50)
+                most = max(most, t.filter(t["own"]).num_rows)
+            out += [(r["anchor"], r["content"], str(r["runs"])) for r in shard.search(t.combine_chunks()).to_pylist()]
+        return sorted(out), most
+
+    assert run(8)[0] == run(10_000)[0] and run(8)[1] < 45 < run(10_000)[1]
