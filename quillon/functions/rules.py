@@ -2,42 +2,46 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 # Results depend on these lists being exactly as they are.
 LEGAL_FORMS = {
-    "us": "co company corp corporation inc incorporated limited llc llp lp ltd pc plc pllc",
-    "india": "co company corp corporation inc limited llp ltd opc private pvt",
-    "france": "eurl inc llc ltd sa sarl sas sasu sci scop selarl snc",
+    "us": ("inc", "incorporated", "llc", "ltd", "limited", "corp", "corporation", "co", "company", "plc", "llp", "lp", "pllc", "pc"),
+    "india": ("pvt", "private", "ltd", "limited", "llp", "opc", "co", "company", "corp", "corporation", "inc"),
+    "france": ("sarl", "sas", "sasu", "eurl", "sci", "sa", "snc", "scop", "selarl", "ltd", "inc", "llc"),
 }
-CONNECTORS = {"us": "and", "india": "and", "france": "et"}
-WEB_TOKENS = "com net org www"
-PLACEHOLDERS = "- -- . n.a. n/a na nan nil none null unknown"
-SCRIPTS = "Latin Devanagari Bengali Gurmukhi Gujarati Oriya Tamil Telugu Kannada Malayalam Arabic"
+CONNECTORS = {"us": ("and",), "india": ("and",), "france": ("et",)}
+WEB_TOKENS = ("www", "com", "net", "org")
+PLACEHOLDERS = ("null", "n/a", "na", "n.a.", "nan", "none", "nil", "unknown", "-", "--", ".")
+SCRIPTS = ("Latin", "Devanagari", "Bengali", "Gurmukhi", "Gujarati", "Oriya", "Tamil", "Telugu", "Kannada", "Malayalam", "Arabic")
 LEET_FROM, LEET_TO = "01568", "olsgb"
 STREET_TYPES = (
-    "all allee av ave avenue bd blvd boulevard ch che chemin cite cours crs esplanade faubourg fbg hameau imp impasse lot "
-    "lotissement parvis pass passage pl place point promenade q quai r res residence rond route rte rue sentier sq square voie "
-    "za zi zone "
-    "alley aly apt bis bldg box building cir circle close court cres crescent ct door dr drive flat floor h highway hno house "
-    "hwy lane ln loop n no p parkway path pike pkwy plaza plot plz po rd road row run shop sno st ste str street suite ter "
-    "terrace trail trl unit walk way "
-    "block colony cross layout main marg nagar near opp phase sector"
-)
-PARTICLES = "a b c d de des du et l la le les of the"
+    "rue", "r", "avenue", "av", "ave", "bd", "boulevard", "blvd", "cours", "crs", "allee", "all", "quai", "q", "impasse", "imp",
+    "place", "pl", "chemin", "ch", "che", "passage", "pass", "square", "sq", "route", "rte", "voie", "residence", "res",
+    "lotissement", "lot", "faubourg", "fbg", "cite", "esplanade", "promenade", "parvis", "rond", "point", "sentier", "hameau",
+    "zone", "za", "zi",
+    "road", "rd", "street", "st", "str", "lane", "ln", "drive", "dr", "court", "ct", "circle", "cir", "way", "parkway", "pkwy",
+    "highway", "hwy", "terrace", "ter", "trail", "trl", "plaza", "plz", "alley", "aly", "loop", "path", "pike", "run", "row",
+    "walk", "crescent", "cres", "close", "unit", "suite", "ste", "apt", "no", "n", "hno", "sno", "h", "house", "plot", "p",
+    "floor", "shop", "bis", "po", "box", "door", "flat", "building", "bldg",
+    "marg", "nagar", "main", "cross", "colony", "sector", "block", "phase", "layout", "near", "opp",
+)
+PARTICLES = ("de", "du", "des", "la", "le", "les", "l", "d", "of", "the", "a", "b", "c", "et", "and")
 
 
-def literal(values: str) -> Column:
-    """A space-separated list as an array literal."""
-    return F.array(*map(F.lit, dict.fromkeys(values.split())))
+def literal(values: Iterable[str]) -> Column:
+    """The distinct values as an array literal."""
+    return F.array(*map(F.lit, dict.fromkeys(values)))
 
 
-def _by_country(table: dict[str, str], country: Column, extra: str = "") -> Column:
+def _by_country(table: dict[str, tuple[str, ...]], country: Column, extra: tuple[str, ...] = ()) -> Column:
     """The list of the record's country; an unknown country has all of them."""
-    out = literal(" ".join([*table.values(), extra]))
+    out = literal([*(v for own in table.values() for v in own), *extra])
     for name, values in table.items():
-        out = F.when(country == name, literal(f"{values} {extra}")).otherwise(out)
+        out = F.when(country == name, literal(values + extra)).otherwise(out)
     return out
 
 
@@ -47,4 +51,4 @@ def legal_forms(country: Column) -> Column:
 
 def noise_tokens(country: Column) -> Column:
     """Legal forms, connectors and web tokens."""
-    return _by_country({k: f"{v} {CONNECTORS[k]}" for k, v in LEGAL_FORMS.items()}, country, WEB_TOKENS)
+    return _by_country({k: v + CONNECTORS[k] for k, v in LEGAL_FORMS.items()}, country, WEB_TOKENS)

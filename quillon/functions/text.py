@@ -8,9 +8,10 @@ from __future__ import annotations
 
 import re
 import unicodedata
+from collections.abc import Mapping
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
@@ -160,7 +161,7 @@ def canonical_numbers(value: Column) -> Column:
 
 
 def script_counts(value: Column) -> Column:
-    return F.array(*(F.regexp_count(as_text(value), F.lit(rf"\p{{Is{s}}}")) for s in rules.SCRIPTS.split()))
+    return F.array(*(F.regexp_count(as_text(value), F.lit(rf"\p{{Is{s}}}")) for s in rules.SCRIPTS))
 
 
 def dominant_script(value: Column) -> Column:
@@ -223,7 +224,7 @@ def street_core(address: Column) -> Column:
     numbered = F.get(F.filter(parts, lambda w: F.exists(w, lambda t: t.rlike("[0-9]"))), F.lit(0))
     kinds = rules.literal(rules.STREET_TYPES)
     typed = F.get(F.filter(parts, lambda w: F.arrays_overlap(w, kinds)), F.lit(0))
-    drop = rules.literal(f"{rules.STREET_TYPES} {rules.PARTICLES}")
+    drop = rules.literal(rules.STREET_TYPES + rules.PARTICLES)
     core = F.filter(F.coalesce(numbered, typed), lambda t: ~t.rlike("[0-9]") & ~F.array_contains(drop, t))
     return F.coalesce(joined(core), F.lit(""))
 
@@ -285,6 +286,13 @@ def normalized(records: DataFrame) -> DataFrame:
     return address_views(name_views(keyed)).drop("business_name", "business_address", "country")
 
 
+def normalized_record(spark: SparkSession, record: Mapping[str, str | None]) -> dict:
+    """All views of one record (entity_id, business_name, business_address, country), as normalized() gives them."""
+    names = ("entity_id", "business_name", "business_address", "country")
+    row = spark.createDataFrame([tuple(record.get(n) for n in names)], ", ".join(f"{n} string" for n in names))
+    return normalized(row).first().asDict()
+
+
 def street_views(df: DataFrame) -> DataFrame:
     """Adds street_core, street_number and legal_dotted to normalised records."""
     a = F.col("address_nfkc")

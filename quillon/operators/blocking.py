@@ -74,8 +74,15 @@ def char_ngrams(df: DataFrame, view: str, sizes: tuple[int, int] = (3, 4)) -> Da
     return rows.groupBy("entity_id", "country_key", "token").agg(F.count("*").alias("tf"))
 
 
-def char_top_k(queries: DataFrame, reference: DataFrame, view: str, sizes: tuple[int, int] = (3, 4), min_df: int = 2, max_df: int = 20_000, top_k: int = 50) -> DataFrame:
-    """q, r, score, rank: cosine of TF-IDF vectors of character n-grams (sublinear tf, smoothed idf), in whole parts."""
+def char_top_k(queries: DataFrame, reference: DataFrame, view: str, sizes: tuple[int, int] = (3, 4), min_df: int = 2, max_df: int = 20_000, top_k: int = 50, only_empty_address: bool = False, deleet_reference: bool = False) -> DataFrame:
+    """q, r, score, rank: cosine of TF-IDF vectors of character n-grams (sublinear tf, smoothed idf), in whole parts.
+
+    The reference may be held to records without an address, and its texts de-leeted.
+    """
+    if only_empty_address:
+        reference = reference.where("address_basic = ''")
+    if deleet_reference:
+        reference = reference.withColumn(view, tx.deleet(F.col(view)))
     right = char_ngrams(reference, view, sizes)
     n = reference.groupBy("country_key").agg(F.count("*").alias("n"))
     idf = right.groupBy("country_key", "token").agg(F.count("*").alias("df")).where(F.col("df").between(min_df, max_df)).join(F.broadcast(n), "country_key")

@@ -95,6 +95,10 @@ def direct_evidence(pairs: DataFrame, s1: DataFrame, reference: DataFrame) -> Da
 
 
 def collective_features(pairs: DataFrame, s1: DataFrame, reference: DataFrame, universe: bool = True) -> DataFrame:
-    """All second-stage features of pairs (q, r, p, ...); records with street_views()."""
-    out = probability_structure(pairs).join(anchor_agreement(pairs, reference), ["q", "r"]).join(direct_evidence(pairs, s1, reference), ["q", "r"])
-    return out.join(universe_features(pairs, s1, reference), ["q", "r"]) if universe else out
+    """All second-stage features of pairs (q, r, p, ...); records with street_views(). A pair that a block lacks is an error."""
+    blocks = [anchor_agreement(pairs, reference), direct_evidence(pairs, s1, reference), *([universe_features(pairs, s1, reference)] if universe else [])]
+    out = probability_structure(pairs)
+    for i, block in enumerate(blocks):
+        out = out.join(block.withColumn(f"__{i}", F.lit(True)), ["q", "r"], "left")
+        out = out.where(F.assert_true(F.coalesce(f"__{i}", F.lit(False)), F.concat(F.lit("no features of the pair "), F.col("q"), F.lit(" "), F.col("r"))).isNull()).drop(f"__{i}")
+    return out

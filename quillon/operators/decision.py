@@ -18,8 +18,8 @@ NO_CAP = 1_000_000
 class Params:
     """t_first and t_rest are tested for each pair on its own; a country's own thresholds replace them."""
 
-    t_first: float = 0.8
-    t_rest: float = 0.8
+    t_first: float = 0.5
+    t_rest: float = 0.5
     relative: float = 0.0
     margin_min: float = 0.0
     ambiguous: str = "top1"
@@ -119,9 +119,10 @@ def grid(spark: SparkSession, params: list[Params]) -> DataFrame:
 
 
 def evaluate_grid(ranked: DataFrame, truth_counts: DataFrame, params: list[Params]) -> DataFrame:
-    """score() of every parameter row in one job: each pair meets the grid once (grids are of a few hundred rows)."""
+    """score() of every parameter row in one job: a pair meets the rows whose thresholds it can reach (grids are of a few hundred rows)."""
     p = grid(ranked.sparkSession, params)
-    rows = ranked.crossJoin(F.broadcast(p))
+    least = min(min(x.t_first, x.t_rest) for x in params)
+    rows = ranked.where(F.col("p") >= least).join(F.broadcast(p), F.col("p") >= F.least("t_first", "t_rest"))
     rows = rows.withColumn("selected", kept(*(F.col(c) for c in ("t_first", "t_rest", "relative", "margin_min", "ambiguous", "cap_s2", "cap_s3"))))
     order = Window.partitionBy("g", "r").orderBy(F.desc("selected"), F.desc("p"), "q")
     rows = rows.where("selected").withColumn("selected", ~F.col("exclusive") | (F.row_number().over(order) == 1)).where("selected")
@@ -138,9 +139,32 @@ SWEEP = tuple(round(0.5 + 0.05 * i, 3) for i in range(8)) + tuple(round(0.9 + 0.
 
 
 def sweep(ranked: DataFrame, truth_counts: DataFrame, values=SWEEP, base: Params = Params()) -> DataFrame:
-    """One threshold for both: threshold, macro_f05, mean_predicted, tp."""
-    out = evaluate_grid(ranked, truth_counts, [replace(base, t_first=t, t_rest=t) for t in values])
-    return out.select(F.col("t_first").alias("threshold"), "macro_f05", "mean_predicted", "tp")
+    """One threshold for both: threshold, macro_f05, mean_predicted, tp.
+
+    Under thresholds alone a pair is counted once: each S1's pairs are tallied by the largest threshold that they reach, a
+    running sum gives its figures between two thresholds, and differences of these add up over all S1. Other rules need
+    the grid.
+    """
+    if replace(base, t_first=0.5, t_rest=0.5, floor=0.0, country={}) != Params() or base.country or not values:
+        out = evaluate_grid(ranked, truth_counts, [replace(base, t_first=t, t_rest=t) for t in values])
+        return out.select(F.col("t_first").alias("threshold"), "macro_f05", "mean_predicted", "tp")
+    steps = sorted(set(values))
+    reached = F.size(F.filter(F.array(*map(F.lit, steps)), lambda t: t <= F.col("p")))
+    tally = ranked.where((F.col("p") >= steps[0]) & (F.col("p") >= base.floor)).groupBy("q", reached.alias("reached")).agg(F.count("*").alias("n"), F.count_if(F.col("label") == 1).alias("tp"))
+    down = Window.partitionBy("q").orderBy(F.desc("reached"))
+    sums = down.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    held = tally.select("q", "reached", F.coalesce(F.lead("reached").over(down), F.lit(0)).alias("after"), F.sum("n").over(sums).alias("n"), F.sum("tp").over(sums).alias("tp")).join(truth_counts, "q")
+    empty = F.col("num_truth") == 0
+    f05 = F.when(empty, 0.0).otherwise(f_beta(F.col("tp") / F.col("n"), F.col("tp") / F.greatest(F.col("num_truth"), F.lit(1))))
+    held = held.select("reached", "after", f05.alias("f"), empty.cast("long").alias("wrong"), "n", "tp")
+    turn = lambda at, sign: F.struct(F.col(at).alias("i"), *((sign * F.col(c)).alias(c) for c in ("f", "wrong", "n", "tp")))
+    turns = held.select(F.explode(F.array(turn("after", 1), turn("reached", -1))).alias("x")).groupBy("x.i").agg(*(F.sum(f"x.{c}").alias(c) for c in ("f", "wrong", "n", "tp")))
+    names = ranked.sparkSession.createDataFrame(list(enumerate(steps)), "at int, threshold double")
+    points = names.join(F.broadcast(turns), F.col("i") <= F.col("at"), "left").groupBy("threshold").agg(*(F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("f", "wrong", "n", "tp")))
+    total = truth_counts.agg(F.count("*").alias("all"), F.count_if(F.col("num_truth") == 0).alias("none"))
+    return points.crossJoin(F.broadcast(total)).select(
+        "threshold", F.round((F.col("f") + F.col("none") - F.col("wrong")) / F.col("all"), 6).alias("macro_f05"), F.round(F.col("n") / F.col("all"), 6).alias("mean_predicted"), F.col("tp").cast("long").alias("tp")
+    )
 
 
 def plateau(table: DataFrame, tolerance: float = 5e-4) -> DataFrame:
@@ -152,8 +176,13 @@ def plateau(table: DataFrame, tolerance: float = 5e-4) -> DataFrame:
 
 FAMILIES = ("global", "first_rest", "relative", "margin", "caps", "exclusive", "country")
 #: The grids of the search.
-GRID = tuple(round(0.5 + 0.05 * i, 3) for i in range(8)) + tuple(round(0.9 + 0.005 * i, 3) for i in range(20)) + (0.999,)
-MARGINS, RELATIVES, CAPS = (0.01, 0.02, 0.05, 0.1, 0.2), (0.5, 0.6, 0.7, 0.8, 0.9, 0.95), (1, 2, 3, 4, 5, 6, 8)
+GRID = tuple(round(0.5 + 0.05 * i, 3) for i in range(8)) + tuple(round(0.9 + 0.005 * i, 3) for i in range(20))
+MARGINS = (0.0, 0.01, 0.02, 0.05, 0.1, 0.2)
+RELATIVES = (0.0, 0.3, 0.5, 0.7, 0.8, 0.9, 0.95)
+CAPS = ((99, 99), (5, 6), (4, 5), (3, 4), (2, 3), (2, 2), (1, 1))
+#: How far the thresholds of the family first_rest, and those of a country, may lie from the ones found before.
+FIRST_SPAN, REST_SPAN = (-0.3, 0.02), -0.05
+COUNTRY_SPAN = (0.1, 0.03)
 
 
 def family(name: str, p: Params, countries=()) -> list[Params]:
@@ -161,39 +190,42 @@ def family(name: str, p: Params, countries=()) -> list[Params]:
     if name == "global":
         return [replace(p, t_first=t, t_rest=t) for t in GRID]
     if name == "first_rest":
-        return [replace(p, t_first=a, t_rest=b) for a in GRID for b in GRID if b >= a]
+        firsts = [a for a in GRID if p.t_first + FIRST_SPAN[0] <= a <= p.t_first + FIRST_SPAN[1]]
+        return [replace(p, t_first=a, t_rest=b) for a in firsts for b in GRID if b >= max(a, p.t_rest + REST_SPAN)]
     if name == "relative":
         return [replace(p, relative=r) for r in RELATIVES]
     if name == "margin":
-        return [replace(p, margin_min=m, ambiguous=a) for m in MARGINS for a in ("top1", "none")]
+        return [replace(p, margin_min=m, ambiguous=a) for m in MARGINS for a in ("top1", "empty")]
     if name == "caps":
-        return [replace(p, cap_s2=a, cap_s3=b) for a in CAPS for b in CAPS]
+        return [replace(p, cap_s2=a, cap_s3=b) for a, b in CAPS]
     if name == "exclusive":
-        return [replace(p, exclusive=True)]
+        return [replace(p, exclusive=e) for e in (False, True)]
+    if name == "country":  # of one country's own pair of thresholds
+        firsts, rests = ([t for t in GRID if abs(t - at) <= span + 1e-9] for at, span in zip((p.t_first, p.t_rest), COUNTRY_SPAN))
+        return [replace(p, t_first=a, t_rest=b) for a in firsts for b in rests if b >= a]
     return []
 
 
 def tune(ranked: DataFrame, truth_counts: DataFrame, families=FAMILIES, start: Params = Params(), countries=()) -> tuple[Params, list[tuple[str, float]]]:
-    """Greedy search: each family is one job over its grid; a step is kept where it gains. Returns parameters and a log."""
+    """Greedy search: each family is one job over its grid, whose best point (the first of equals) the next starts from.
+
+    A country's thresholds are sought among its own S1, whose mean is the only part of the whole mean that they can
+    change (unless candidates are shared between countries). Returns parameters and a log.
+    """
     first = lambda ps, r=ranked, t=truth_counts: evaluate_grid(r, t, ps).orderBy(F.desc("macro_f05"), "g").first()
     best, log = start, []
-    value = first([best]).macro_f05
     for name in families:
         if name == "country":
             for c in countries:
-                part, counts = ranked.where(F.col("country_key") == c), truth_counts.where(F.col("country_key") == c)
-                now = first([best], part, counts).macro_f05
-                options = family("global", best)
-                top = first(options, part, counts)
-                if top.macro_f05 > now:
+                top = first(family(name, best), ranked.where(F.col("country_key") == c), truth_counts.where(F.col("country_key") == c))
+                if top:
                     best = replace(best, country=best.country | {c: (top.t_first, top.t_rest)})
                     log.append((f"country {c}", top.macro_f05))
             continue
         options = family(name, best)
         top = first(options)
-        if top.macro_f05 > value:
-            best, value = options[top.g], top.macro_f05
-        log.append((name, value))
+        best = options[top.g]
+        log.append((name, top.macro_f05))
     return best, log
 
 

@@ -6,6 +6,8 @@ truth doesn't have are ignored, and repeated ids count once.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -100,6 +102,21 @@ def not_idempotent(df: DataFrame, view: str, function) -> DataFrame:
     return df.where(F.col(view) != function(F.col(view)))
 
 
+def raw_preserved(raw: DataFrame, views: DataFrame, columns: dict[str, str], key: str = "entity_id") -> DataFrame:
+    """view, changed, rows, missing: raw views that differ from the column of the raw record (null: ''), and records without one."""
+    both = raw.select(key, *(F.coalesce(c, F.lit("")).alias(f"__{v}") for v, c in columns.items())).join(views.select(key, *columns).withColumn("__there", F.lit(True)), key, "left")
+    gone = F.col("__there").isNull()
+    wide = both.agg(F.count("*").alias("rows"), F.count_if(gone).alias("missing"), *(F.count_if(~gone & ~F.col(v).eqNullSafe(F.col(f"__{v}"))).alias(v) for v in columns))
+    names = F.explode(F.array(*(F.struct(F.lit(v).alias("view"), F.col(v).alias("changed")) for v in columns)))
+    return wide.select(names.alias("x"), "rows", "missing").select("x.view", "x.changed", "rows", "missing")
+
+
+def nfkc_unstable(df: DataFrame, views: Sequence[str]) -> DataFrame:
+    """view, unstable: rows whose view isn't its own NFKC form."""
+    wide = df.agg(*(F.count_if(F.col(v) != tx.nfkc(F.col(v))).alias(v) for v in views))
+    return wide.select(F.explode(F.array(*(F.struct(F.lit(v).alias("view"), F.col(v).alias("unstable")) for v in views))).alias("x")).select("x.*")
+
+
 def label_check(pairs: DataFrame, truth: DataFrame) -> DataFrame:
     """Positives of labelled pairs against the truth that was retrieved."""
     positive = pairs.where("label = 1").select("q", "r")

@@ -181,9 +181,11 @@ def transliteration_features(s, c) -> dict[str, Column]:
 
 
 def paired(pairs: DataFrame, s1: DataFrame, reference: DataFrame) -> DataFrame:
-    """Pairs with both records' columns, s_ and c_."""
-    side = lambda d, p, k: d.select(*(F.col(x).alias(k if x == "entity_id" else f"{p}_{x}") for x in d.columns))
-    return pairs.join(side(s1, "s", "q"), "q").join(side(reference, "c", "r"), "r")
+    """Pairs with both records' columns, s_ and c_; a pair of an id without a record is an error, not a lost row."""
+    side = lambda d, p, k: d.select(*(F.col(x).alias(k if x == "entity_id" else f"{p}_{x}") for x in d.columns), F.lit(True).alias(f"__{p}"))
+    rows = pairs.join(side(s1, "s", "q"), "q", "left").join(side(reference, "c", "r"), "r", "left")
+    known = F.coalesce("__s", F.lit(False)) & F.coalesce("__c", F.lit(False))
+    return rows.where(F.assert_true(known, F.concat(F.lit("no record of the pair "), F.col("q"), F.lit(" "), F.col("r"))).isNull()).drop("__s", "__c")
 
 
 def build(pairs: DataFrame, s1: DataFrame, reference: DataFrame, truth: DataFrame | None = None, version: int = 1) -> DataFrame:

@@ -6,17 +6,19 @@ from collections.abc import Sequence
 
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier
+from pyspark.ml.evaluation import BinaryClassificationEvaluator
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import IsotonicRegression
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillon.operators.collective import logit
 from quillon.operators.decision import fold
+from quillon.operators.profiling import log_loss
 
 MISSING = -1.0
-GROUPS = {"name": ("name_", "legal_"), "address": ("address_",), "number": ("number_", "long_number", "name_number"), "blocking": ("blocked_", "blocking_", "hybrid_", "candidates_")}
+GROUPS = {"name": ("name_", "legal_"), "address": ("address_",), "number": ("number_", "long_number", "name_number"), "blocking": ("blocked_", "blocking_", "hybrid_", "candidates_"), "cross_field": ("cross_",), "country_missing": ("country_", "missing_")}
 
 
 def feature_columns(df: DataFrame, label: str = "label") -> list[str]:
@@ -50,6 +52,62 @@ def forest(columns: Sequence[str], label: str = "label", trees: int = 60, depth:
     return Pipeline(stages=[VectorAssembler(inputCols=list(columns), outputCol="__x"), RandomForestClassifier(featuresCol="__x", labelCol=label, numTrees=trees, maxDepth=depth, seed=1, **options)])
 
 
+def boosted_sampled(columns: Sequence[str], label: str = "label", trees: int = 40, depth: int = 6, step: float = 0.1, dev: str | None = None, weight: str | None = None) -> Pipeline:
+    """A second boosted ensemble, deeper, each tree on 0.8 of the rows and of the features at each split."""
+    options = {"validationIndicatorCol": dev} if dev else {}
+    options |= {"weightCol": weight} if weight else {}
+    model = GBTClassifier(featuresCol="__x", labelCol=label, maxIter=trees, maxDepth=depth, stepSize=step, subsamplingRate=0.8, featureSubsetStrategy="0.8", seed=42, **options)
+    return Pipeline(stages=[VectorAssembler(inputCols=list(columns), outputCol="__x"), model])
+
+
+def save(models: Sequence[PipelineModel], columns: Sequence[str], path: str) -> None:
+    """The ensemble's members and the columns they read, so that scoring can be another run than training."""
+    for i, m in enumerate(models):
+        m.write().overwrite().save(f"{path}/member-{i}")
+    SparkSession.active().createDataFrame([(len(models), list(columns))], "members int, columns array<string>").coalesce(1).write.mode("overwrite").json(f"{path}/about")
+
+
+def load(spark: SparkSession, path: str) -> tuple[list[PipelineModel], list[str]]:
+    """What save() wrote: members and columns, as predict() takes them."""
+    about = spark.read.schema("members int, columns array<string>").json(f"{path}/about").first()
+    return [PipelineModel.load(f"{path}/member-{i}") for i in range(about.members)], list(about.columns)
+
+
+#: The experiments' feature groups (None: all), weighting, ensemble and calibration.
+EXPERIMENTS = {
+    "M001_all_weighted": (None, True, "boosted", None),
+    "M002_all_hardneg_unweighted": (None, False, "boosted", None),
+    "M003_name_only": (("name",), True, "boosted", None),
+    "M004_name_address": (("name", "address", "cross_field"), True, "boosted", None),
+    "M005_name_address_numeric": (("name", "address", "cross_field", "number"), True, "boosted", None),
+    "M006_all_but_blocking": (("name", "address", "cross_field", "number", "country_missing"), True, "boosted", None),
+    "M007_all_weighted_isotonic": (None, True, "boosted", "isotonic"),
+    "M008_sampled_all_weighted": (None, True, "sampled", None),
+}
+
+
+def experiments(train: DataFrame, dev: DataFrame, columns: Sequence[str], names: Sequence[str] = tuple(EXPERIMENTS), label: str = "label", **size) -> DataFrame:
+    """experiment, features, log_loss, auc on dev of each model; train has a weight. An experiment without features is left out."""
+    out = []
+    for name in names:
+        groups, weighted, kind, calibration = EXPERIMENTS[name]
+        own = not_constant(train, select_groups(columns, groups) if groups else columns)
+        if not own:
+            continue
+        make = boosted if kind == "boosted" else boosted_sampled
+        members = fit(train, own, [make(own, label, weight="weight" if weighted else None, **size)])
+        scored = predict(dev, own, members)
+        if calibration:
+            scored = Calibrator(calibration).fit(predict(train, own, members), label=label).transform(scored, name="p")
+        loss = log_loss(scored, "p", label).first().log_loss
+        out.append((name, len(own), float(loss), float(auc(scored, "p", label))))
+    return train.sparkSession.createDataFrame(out, "experiment string, features int, log_loss double, auc double")
+
+
+def auc(df: DataFrame, p: str, label: str) -> float:
+    return BinaryClassificationEvaluator(rawPredictionCol=p, labelCol=label).evaluate(df)
+
+
 def fit(df: DataFrame, columns: Sequence[str], members: Sequence[Pipeline]) -> list[PipelineModel]:
     data = filled(df, columns)
     return [m.fit(data) for m in members]

@@ -33,6 +33,10 @@ def idf_feature(n: Column, df: Column) -> Column:
     return F.round((F.log((n + 1) / (df + 1)) + 1) * PART).cast("long")
 
 
+#: Words of a dictionary at most (about 1 MB).
+MOST_WORDS = 20_000
+
+
 def learn_translation(pairs: DataFrame, s1: DataFrame, target: DataFrame, view: str, min_count: int = 5, min_probability: float = 0.5, foreign_ratio: float = 0.05) -> DataFrame:
     """token, translation, probability, support, from aligned true pairs (s1_text, target_text).
 
@@ -54,5 +58,8 @@ def learn_translation(pairs: DataFrame, s1: DataFrame, target: DataFrame, view:
 
 
 def dictionary(translations: DataFrame) -> dict[str, str]:
-    """A learned dictionary as a Python map; learned dictionaries are small (a few thousand tokens with support)."""
-    return {r.token: r.translation for r in translations.select("token", "translation").collect()}
+    """A learned dictionary as a Python map, for a literal. One of more than ``MOST_WORDS`` is an error: it is too large for a plan."""
+    rows = translations.select("token", "translation").limit(MOST_WORDS + 1).collect()
+    if len(rows) > MOST_WORDS:
+        raise ValueError(f"a dictionary of more than {MOST_WORDS} words")
+    return {r.token: r.translation for r in rows}

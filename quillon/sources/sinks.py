@@ -2,14 +2,28 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillon.operators.evaluation import to_lists
 
 
-def write_views(df: DataFrame, path: str, country: str = "country_key") -> None:
-    """Normalised records as zstd Parquet, one folder a country; only the countries of df are replaced."""
+def finished(spark: SparkSession, path: str, country: str = "country_key") -> list[str]:
+    """The countries whose folders are there, by name ('': the empty one)."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = at.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not fs.exists(at) or not any(s.isDirectory() for s in fs.listStatus(at)):
+        return []
+    return sorted(r[0] or "" for r in spark.read.parquet(path).select(F.col(country).cast("string")).distinct().collect())
+
+
+def write_views(df: DataFrame, path: str, country: str = "country_key", resume: bool = False) -> None:
+    """Normalised records as zstd Parquet, one folder a country; only the countries of df are replaced.
+
+    With ``resume`` the countries that an earlier run finished stay and aren't made again: a folder appears when its run commits.
+    """
+    if resume and (done := finished(df.sparkSession, path, country)):
+        df = df.where(~F.col(country).isin(done))
     df.repartition(country, F.pmod(F.xxhash64("entity_id"), F.lit(64))).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").option("compression", "zstd").partitionBy(country).parquet(path)
 
 

@@ -1,10 +1,12 @@
 import json
 
+import pytest
 from pyspark.sql import functions as F
 
 from quillon import queries
 from quillon.functions import text as tx
 from quillon.operators import blocking, evaluation, features, models
+from quillon.operators import tokens as tk
 from quillon.plans import linkage
 from quillon.sources import records, sinks
 from quillon.streaming import linking
@@ -148,3 +150,50 @@ def test_translation_and_deleeting_find_candidates(spark):
     pairs = linkage.candidates(*features.prepared(left, right, *linkage.learn_dictionaries(left, right, truth)), channels)
     found = {(r.q, r.r) for r in pairs.select("q", "r").collect()}
     assert ("S1-90", "S2-90") in found and ("S1-91", "S2-91") in found
+
+
+def test_character_channel_options(spark):
+    ref = spark.createDataFrame([("S2-1", "golden bell", "", "us"), ("S2-2", "golden bell", "x", "us"), ("S2-3", "g0lden b3ll", "", "us")], "entity_id string, n string, address_basic string, country_key string")
+    q = spark.createDataFrame([("S1-1", "golden bell", "", "us")], "entity_id string, n string, address_basic string, country_key string")
+    found = lambda **k: {x.r for x in blocking.char_top_k(q, ref, "n", min_df=1, **k).collect()}
+    top = lambda **k: blocking.char_top_k(q, ref, "n", min_df=1, **k).where("r = 'S2-3'").first().score
+    assert found() == {"S2-1", "S2-2", "S2-3"} and found(only_empty_address=True) == {"S2-1", "S2-3"}
+    assert top(deleet_reference=True) > top()
+
+
+def test_models_can_be_saved_and_compared(spark, tmp_path):
+    rows = [(f"S1-{i}", f"S2-{i}", (i % 7) / 7, (i * 3 % 11) / 11, int(i % 7 + (i * 3 % 11) / 11 > 3.5), 1.0 + i % 2) for i in range(200)]
+    df = spark.createDataFrame(rows, "q string, r string, name_x double, address_x double, label int, weight double")
+    cols = ["name_x", "address_x"]
+    fitted = models.fit(df, cols, [models.boosted(cols, trees=3, depth=2), models.boosted_sampled(cols, trees=3, depth=3)])
+    models.save(fitted, cols, str(tmp_path / "m"))
+    loaded, names = models.load(spark, str(tmp_path / "m"))
+    score = lambda m: sorted((r.q, r.p) for r in models.predict(df, names, m).collect())
+    assert names == cols and score(loaded) == score(fitted)
+    out = {r.experiment: r for r in models.experiments(df, df, cols, ("M001_all_weighted", "M003_name_only", "M007_all_weighted_isotonic", "M008_sampled_all_weighted"), trees=4, depth=2).collect()}
+    assert out["M003_name_only"].features == 1 and out["M001_all_weighted"].features == 2 and all(r.auc > 0.9 and r.log_loss < 0.7 for r in out.values()) and len(out) == 4
+
+
+def test_a_run_that_is_resumed_leaves_finished_countries(spark, tmp_path):
+    path = str(tmp_path / "views")
+    rows = lambda *x: spark.createDataFrame(list(x), "entity_id string, v string, country_key string")
+    sinks.write_views(rows(("a", "old", "fr")), path, resume=True)
+    sinks.write_views(rows(("a", "new", "fr"), ("b", "new", "us")), path, resume=True)
+    assert sorted((r.entity_id, r.v, r.country_key) for r in spark.read.parquet(path).collect()) == [("a", "old", "fr"), ("b", "new", "us")]
+    assert sinks.finished(spark, path) == ["fr", "us"] and sinks.finished(spark, str(tmp_path / "none")) == []
+
+
+def test_audits_of_views(spark):
+    raw = spark.createDataFrame([("a", "x"), ("b", None), ("c", "ﬁn"), ("d", "gone")], "entity_id string, n string")
+    views = spark.createDataFrame([("a", "x"), ("b", ""), ("c", "other")], "entity_id string, raw string")
+    assert evaluation.raw_preserved(raw, views, {"raw": "n"}).collect()[0].asDict() == {"view": "raw", "changed": 1, "rows": 4, "missing": 1}
+    both = raw.withColumn("n2", tx.nfkc(F.col("n")))
+    assert {r.view: r.unstable for r in evaluation.nfkc_unstable(both, ["n", "n2"]).collect()} == {"n": 1, "n2": 0}
+
+
+def test_dictionaries_are_bounded(spark, monkeypatch):
+    words = spark.createDataFrame([(f"a{i}", f"b{i}") for i in range(5)], "token string, translation string")
+    assert len(tk.dictionary(words)) == 5
+    monkeypatch.setattr(tk, "MOST_WORDS", 4)
+    with pytest.raises(ValueError):
+        tk.dictionary(words)

@@ -51,6 +51,7 @@ def test_scalar_functions(spark):
     one = lambda c: spark.range(1).select(c.alias("x")).first().x
     lit = F.lit
     assert one(tx.deleet(lit("g00gle 123 ab1 m1cr0soft"))) == "google 123 ab1 mlcrosoft"
+    assert one(tx.street_core(lit("12 Land and Sea Road"))) == "land sea" and one(tx.street_core(lit("3 rue de la Paix et du Lac"))) == "paix lac"
     assert one(tx.initials(lit("big blue sky"))) == "bbs" and one(tx.initials(lit("one"))) == ""
     assert one(tx.translated(lit("rue du lac"), F.create_map(lit("rue"), lit("street")))) == "rue du lac street"
     assert one(tx.dotted_legal(lit("Foo S.A.R.L. Ltd"), lit("france"))) == "ltd sarl"
@@ -63,3 +64,9 @@ def test_scalar_functions(spark):
 def test_normalising_twice_changes_nothing(spark, sf):
     docs = spark.read.parquet(f"{sf}/documents.parquet").select(tx.basic(F.col("text")).alias("b"))
     assert docs.where(F.col("b") != tx.basic(F.col("b"))).count() == 0
+
+
+def test_one_record_has_the_views_of_the_table(spark):
+    record = {"entity_id": "S2-1", "business_name": "Ünited Inc", "business_address": None, "country": " US "}
+    got = tx.normalized_record(spark, record)
+    assert got["name_content"] == "united" and got["address_missing"] and got["country_key"] == "us" and got["name_raw"] == "Ünited Inc"
