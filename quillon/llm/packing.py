@@ -7,7 +7,9 @@ and the next bin begins. Pieces of one length are alike, so the programme runs o
 pieces of each length out to the planned places by their rank.
 
 Defined results: a null text is empty and makes a piece of the end token alone. Repeated rows are packed each on its
-own. Only documents of more than ``capacity`` tokens are cut. An empty table gives no rows; other columns are ignored.
+own. Only documents of more than ``capacity`` tokens are cut. An empty table gives no rows; other columns are ignored. A text
+of any length is encoded whole. Texts with a character outside ``PLAIN`` or a special string go through the library as they
+are, in batches; the others word by word.
 """
 
 from __future__ import annotations
@@ -30,6 +32,17 @@ END = 1
 PATTERN = r"(?U)'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+"
 #: Rows of one length that are ranked together.
 GROUP = 50_000
+#: Characters of which texts are in normal form C, whatever stands beside them, and whose lower case is one character wherever
+#: they stand: Latin, Greek (but capital sigma), Cyrillic, Hebrew and Arabic letters, punctuation, currency, arrows and
+#: symbols, kana, Chinese characters, Hangul syllables, full-width forms, emoji. Combining marks that compose aren't among them.
+PLAIN = (
+    (0x0000, 0x012F), (0x0131, 0x02FF), (0x0391, 0x03A1), (0x03A4, 0x03CE), (0x0400, 0x0482), (0x048A, 0x052F), (0x05D0, 0x05EA),
+    (0x060C, 0x060C), (0x061B, 0x061B), (0x061F, 0x061F), (0x0621, 0x064A), (0x0660, 0x0669), (0x2002, 0x2027), (0x202F, 0x205F),
+    (0x20A0, 0x20BF), (0x2190, 0x21FF), (0x2200, 0x2328), (0x232B, 0x23FF), (0x2500, 0x27BF), (0x3000, 0x3029), (0x3041, 0x3096), (0x309B, 0x309C),
+    (0x30A0, 0x30FF), (0x4E00, 0x9FA5), (0xAC00, 0xD7A3), (0xFE0F, 0xFE0F), (0xFF01, 0xFF60), (0x1F300, 0x1F64F),
+    (0x1F680, 0x1F6D0), (0x1F900, 0x1F92F),
+)
+OTHER = "[^" + "".join(rf"\x{{{a:X}}}-\x{{{b:X}}}" for a, b in PLAIN) + "]"
 
 
 class Item(NamedTuple):
@@ -92,11 +105,12 @@ def plan(histogram: dict[int, int], capacity: int = CAPACITY) -> list[Bin]:
 def pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, end: int = END) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32 of every whole text's ids and the end token."""
     text = F.coalesce("text", F.lit(""))
-    simple = ~text.rlike(r"[^\x{0}-\x{2FF}]") & ~F.contains(text, F.lit("<|"))  # composed, and without special strings
+    simple = ~text.rlike(OTHER) & ~F.contains(text, F.lit("<|"))  # without special strings
     rows = docs.select("doc_id", F.when(simple, F.regexp_extract_all(F.lower(text), F.lit(PATTERN), F.lit(0))).alias("words"), F.when(~simple, text).alias("raw"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = common.word_encoder(path, plain=True)
+        encoder, whole = common.word_encoder(path, plain=True), common.tokenizer(path)
+        own_batch = getattr(whole, "encode_batch_fast", whole.encode_batch)
         for b in common.lean(batches):
             lists = b["words"]
             plain = lists.is_valid().to_numpy(zero_copy_only=False)
@@ -110,8 +124,10 @@ def pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, end: int = END)
             ids: list[bytes] = [b""] * b.num_rows
             for row, i, j in zip(np.flatnonzero(plain), at[:-1], at[1:]):
                 ids[row] = data[4 * i : 4 * j]
-            for row in np.flatnonzero(~plain):
-                ids[row] = np.asarray(common.tokenizer(path).encode(b["raw"][int(row)].as_py(), add_special_tokens=False).ids, "<u4").tobytes()
+            rest = np.flatnonzero(~plain)
+            for some in np.split(rest, np.arange(64, len(rest), 64)):
+                for row, x in zip(some, own_batch(b["raw"].take(pa.array(some)).to_pylist(), add_special_tokens=False)):
+                    ids[row] = np.asarray(x.ids, "<u4").tobytes()
             last = np.asarray([end], "<u4").tobytes()
             out = []
             for row, x in enumerate(ids):

@@ -76,3 +76,32 @@ def test_whole_table(spark, sf):
     got = packing.op8_best_fit_packing(spark, sf).collect()
     assert sorted((r.doc_id, r.piece, r.start, r.length, r.ids_crc32) for r in got) == sorted(x for r in docs for x in expected(r.doc_id, r.text))
     assert sound(got, 4096) <= math.ceil(sum(r.length for r in got) / 4096) + 1
+
+
+SCRIPTS = {"latin": (0x20, 0x24F), "greek": (0x370, 0x3FF), "cyrillic": (0x400, 0x52F), "hebrew": (0x590, 0x5FF), "arabic": (0x600, 0x6FF), "indic": (0x900, 0x97F), "thai": (0xE00, 0xE7F),
+           "punctuation": (0x2000, 0x206F), "currency": (0x20A0, 0x20BF), "letterlike": (0x2100, 0x218F), "arrows": (0x2190, 0x23FF), "symbols": (0x2500, 0x27BF), "kana": (0x3000, 0x30FF),
+           "chinese": (0x4E00, 0x9FFF), "hangul": (0xAC00, 0xD7AF), "wide": (0xFF00, 0xFFEF), "emoji": (0x1F300, 0x1F9FF), "marks": (0x300, 0x36F)}
+
+
+def test_texts_of_many_scripts(spark):
+    rnd = random.Random(9)
+    texts = ["“Quoted” – it’s naïve… Привет, МИР! ΟΔΟΣ ὅδε İstanbul ǅ 漢字かな交じり文 한국어 שלום مرحبا ４２ ﬁn é 🚀✈️ 100 €"]
+    for name, (a, b) in SCRIPTS.items():
+        own = [chr(x) for x in range(a, b + 1)]
+        for _ in range(40):
+            mixed = own + [" ", "\u3000", "'s", "A", "7", "."] + ([chr(x) for k in rnd.sample(sorted(SCRIPTS), 2) for x in rnd.sample(range(*SCRIPTS[k]), 8)] if rnd.random() < 0.5 else [])
+            texts.append("".join(rnd.choice(mixed) for _ in range(rnd.randint(1, 60))))
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = packing.pieces(df, PATH).collect()
+    assert sorted((r.doc_id, r.piece, r.start, r.length, r.ids_crc32) for r in got) == sorted(x for i, t in enumerate(texts) for x in expected(i, t))
+    fast = df.where(~df.text.rlike(packing.OTHER)).count()
+    assert fast > 200
+
+
+def test_every_plain_character_is_as_the_library_has_it(spark):
+    points = [x for a, b in packing.PLAIN for x in range(a, b + 1) if x < 0x4E00 or x > 0xD7A3 or x % 37 == 0]
+    texts = [f"a{chr(x)}b {chr(x)}{chr(x)} 1{chr(x)}" for x in points]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
+    got = {r.doc_id: r.ids_crc32 for r in packing.pieces(df, PATH).collect()}
+    wrong = [hex(points[i]) for i, t in enumerate(texts) if got[i] != expected(i, t)[0][4]]
+    assert not wrong, wrong
