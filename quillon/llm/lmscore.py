@@ -21,7 +21,8 @@ in a join.
 Words are known by 64-bit hashes, pairs within a bucket by 32 bits more, finer than the filter tells them apart.
 
 Defined results: null texts are empty: one token, the end. A null id counts as the empty text in the fold. Without
-training rows N and V are 0 and every token has log10(1 / 1). Rows that share an id are scored each on its own.
+training rows N and V are 0 and every token has log10(1 / 1). Rows that share an id are scored each on its own. An empty
+table gives no rows. A text of any length is scored whole, as one row of a chunk. Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -71,7 +72,8 @@ def pairs(at: np.ndarray, h: np.ndarray) -> np.ndarray:
 
 
 def packed(rows: DataFrame) -> DataFrame:
-    """chunk, rows: all columns of about ``HELD`` bytes of text as one compressed Arrow stream, under a number of its own."""
+    """chunk, rows, tokens: all columns of about ``HELD`` bytes of text as one compressed Arrow stream, under a number of its own;
+    the number of training tokens in it."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own, n, k = [], 0, TaskContext.get().partitionId() << 32
@@ -81,7 +83,8 @@ def packed(rows: DataFrame) -> DataFrame:
             with pa.ipc.new_stream(sink, own[0].schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
                 for x in own:
                     out.write_batch(x)
-            return pa.RecordBatch.from_arrays([pa.array([k], pa.int64()), pa.array([sink.getvalue().to_pybytes()], pa.binary())], ["chunk", "rows"])
+            tokens = sum(training_tokens(common.strings(x["text"]), x["held_out"].to_numpy(zero_copy_only=False)) for x in own)
+            return pa.RecordBatch.from_arrays([pa.array([k], pa.int64()), pa.array([sink.getvalue().to_pybytes()], pa.binary()), pa.array([tokens], pa.int64())], ["chunk", "rows", "tokens"])
 
         for b in common.lean(batches):
             if not b.num_rows:
@@ -94,7 +97,18 @@ def packed(rows: DataFrame) -> DataFrame:
         if own:
             yield sent()
 
-    return rows.mapInArrow(run, "chunk long, rows binary")
+    return rows.mapInArrow(run, "chunk long, rows binary, tokens long")
+
+
+def training_tokens(texts: pa.Array, held_out: np.ndarray) -> int:
+    """Words and ends of the texts that aren't held out."""
+    o, b = common.buffers(texts)
+    inside = np.append(False, ~((b == 32) | ((b >= 9) & (b <= 13))))
+    first = inside[1:] & ~inside[:-1]
+    at = o[:-1][o[:-1] < len(b)]
+    first[at] = inside[1:][at]
+    each = np.diff(np.concatenate(([0], np.cumsum(first)))[o]) + 1
+    return int(each[~held_out].sum())
 
 
 def unpacked(data: bytes) -> pa.Table:
@@ -234,10 +248,10 @@ def model_scores(word: np.ndarray, pair: np.ndarray, at: np.ndarray, n: int, v:
     return common.segment_sum(np.log10(np.minimum(p, 1)), at)
 
 
-def shape(letters: float) -> tuple[int, int]:
-    """For so many training tokens: 2 to the first is the number of buckets of words, as of pairs; bits that each one's stretch has at least."""
-    bits = max(4, int(max(letters / BUCKET, 1)).bit_length())
-    total_bits = max(LEAST_BITS, int(letters * BITS_PER_TOKEN).bit_length())
+def shape(n: float) -> tuple[int, int]:
+    """For n training tokens: 2 to the first is the number of buckets of words, as of pairs; bits that each one's stretch has at least."""
+    bits = max(4, int(max(n / BUCKET, 1)).bit_length())
+    total_bits = max(LEAST_BITS, int(n * BITS_PER_TOKEN).bit_length())
     return bits, max(512, (1 << total_bits) >> (bits + 1))
 
 
@@ -245,8 +259,9 @@ def score(docs: DataFrame, held_out) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of every row; learns where ``held_out`` is false."""
     spark = docs.sparkSession
     rows = docs.select("doc_id", "text", held_out.alias("held_out"))
-    bits, size = shape(rows.where(~F.col("held_out")).agg(F.sum(F.length("text") / 6 + 1)).first()[0] or 0)
     chunks = common.table(packed(rows), "chunks")
+    bits, size = shape(chunks.agg(F.sum("tokens")).first()[0] or 0)
+    chunks = chunks.drop("tokens")
     made = common.table(merged(counted(chunks, bits), size), "counts")
     common.release(spark)
 

@@ -112,3 +112,17 @@ def test_pairs_that_occur_once_count(spark):
     got = {r.doc_id: r.score for r in lmscore.score(df, lmscore.common.fold("doc_id", 10) == 0).collect()}
     off = [abs(got[i] - s) for (i, _), s in zip(rows, exact_scores(rows))]
     assert np.median(off) < 0.05 and max(off) < 2
+
+
+def test_training_tokens_are_counted():
+    rnd = np.random.default_rng(4)
+    texts = ["", " ", "a", " a b\t", "x\x0b\x0cy\x1cz é", *("".join(rnd.choice(list("ab \n\t"), 30)) for _ in range(50))]
+    held = rnd.random(len(texts)) < 0.3
+    array = lmscore.pa.array(["cut off", *texts])[1:]
+    assert lmscore.training_tokens(array, held) == sum(len(parts(t)) for t, h in zip(texts, held) if not h)
+
+
+def test_very_long_text(spark):
+    rows = [(1, "w " * 400_000), (2, None), (10, "w x")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    check(lmscore.score(df, lmscore.common.fold("doc_id", 10) == 0), rows)
