@@ -36,13 +36,15 @@ GROUP = 50_000
 #: they stand: Latin, Greek (but capital sigma), Cyrillic, Hebrew and Arabic letters, punctuation, currency, arrows and
 #: symbols, kana, Chinese characters, Hangul syllables, full-width forms, emoji. Combining marks that compose aren't among them.
 PLAIN = (
-    (0x0000, 0x012F), (0x0131, 0x02FF), (0x0391, 0x03A1), (0x03A4, 0x03CE), (0x0400, 0x0482), (0x048A, 0x052F), (0x05D0, 0x05EA),
+    (0x0000, 0x02FF), (0x0391, 0x03A1), (0x03A4, 0x03CE), (0x0400, 0x0482), (0x048A, 0x052F), (0x05D0, 0x05EA),
     (0x060C, 0x060C), (0x061B, 0x061B), (0x061F, 0x061F), (0x0621, 0x064A), (0x0660, 0x0669), (0x2002, 0x2027), (0x202F, 0x205F),
     (0x20A0, 0x20BF), (0x2190, 0x21FF), (0x2200, 0x2328), (0x232B, 0x23FF), (0x2500, 0x27BF), (0x3000, 0x3029), (0x3041, 0x3096), (0x309B, 0x309C),
     (0x30A0, 0x30FF), (0x4E00, 0x9FA5), (0xAC00, 0xD7A3), (0xFE0F, 0xFE0F), (0xFF01, 0xFF60), (0x1F300, 0x1F64F),
     (0x1F680, 0x1F6D0), (0x1F900, 0x1F92F),
 )
-OTHER = "[^" + "".join(rf"\x{{{a:X}}}-\x{{{b:X}}}" for a, b in PLAIN) + "]"
+#: Most characters are told by one range; only the others are looked up among all.
+BEYOND = r"[^\x{0}-\x{2FF}]"
+OTHER = r"(?![\x{0}-\x{12F}])[^" + "".join(rf"\x{{{a:X}}}-\x{{{b:X}}}" for a, b in PLAIN) + "]"
 
 
 class Item(NamedTuple):
@@ -105,7 +107,7 @@ def plan(histogram: dict[int, int], capacity: int = CAPACITY) -> list[Bin]:
 def pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, end: int = END) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32 of every whole text's ids and the end token."""
     text = F.coalesce("text", F.lit(""))
-    simple = ~text.rlike(OTHER) & ~F.contains(text, F.lit("<|"))  # without special strings
+    simple = (~text.rlike(BEYOND) | ~text.rlike(OTHER)) & ~F.contains(text, F.lit("<|"))  # without special strings
     rows = docs.select("doc_id", F.when(simple, F.regexp_extract_all(F.lower(text), F.lit(PATTERN), F.lit(0))).alias("words"), F.when(~simple, text).alias("raw"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
