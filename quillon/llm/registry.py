@@ -18,7 +18,6 @@ QUERIES = {
 }
 
 ORACLES: dict[str, str] = {
-    "op6_quality_rules": quality.op6_quality_rules,
     "op6_quality_rules": quality.ORACLE,
     "op7_exact_topk": topk.ORACLE,
 }
