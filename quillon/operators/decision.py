@@ -33,7 +33,7 @@ class Params:
         return {k: getattr(self, k) for k in ("t_first", "t_rest", "relative", "margin_min", "ambiguous", "cap_s2", "cap_s3", "exclusive")} | more
 
 
-STAGE_ONE = Params(cap_s2=5, cap_s3=6, exclusive=True)
+STAGE_ONE = Params(t_first=0.8, t_rest=0.8, cap_s2=5, cap_s3=6, exclusive=True)
 STAGE_TWO = Params(t_first=0.5, t_rest=0.725, floor=0.02, country={"france": (0.65, 0.725)})
 
 
