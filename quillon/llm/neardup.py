@@ -26,6 +26,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -246,8 +247,8 @@ def linked(hits: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame
             about = common.table(profiles(texts.join(left.select("id").distinct(), "id", "left_semi"), k, percent), "profiles")
             met = tiled(left, about, percent)
         pairs = met.distinct()
-        for before in checked:
-            pairs = pairs.join(before, ["x", "y"], "left_anti")
+        if checked:
+            pairs = pairs.join(reduce(DataFrame.unionByName, checked), ["x", "y"], "left_anti")
         pairs = common.table(pairs, "pairs")
         checked.append(pairs)
         if turn == STARS:
