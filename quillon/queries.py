@@ -1,7 +1,7 @@
 """Named queries over the driver's tables, one or more for each operator, and the SQL that gives the same rows.
 
 Records are made from ``documents`` (sources.records.from_documents); true links are the records of other sources with
-equal country and equal whole text. Limits suit these tables: blocks and frequencies up to 50, ten candidates a channel.
+equal country and equal whole text. Blocks, frequencies and candidates a channel have the operators' own limits.
 """
 
 from __future__ import annotations
@@ -22,7 +22,7 @@ from quillon.sources import records
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
-BLOCK, DF, TOP = 50, 50, 10
+BLOCK, NUMBERS, DF, TOP = blocking.MAX_BLOCK, blocking.MAX_NUMBER_BLOCK, blocking.MAX_DF, blocking.TOP_K
 CHANNELS = (
     blocking.Channel("content_name", "exact", ("name_content",), {"max_block": BLOCK}),
     blocking.Channel("fingerprint_name", "exact", ("name_fingerprint",), {"max_block": BLOCK}),
@@ -321,10 +321,10 @@ def _(spark, sf):
 @query("number_block", f"""
 WITH {R}, x AS (SELECT entity_id, source, country_key, unnest({D("nums")}) AS token FROM (SELECT *, {numbers("basic")} AS nums FROM rec)),
 b AS (SELECT *, count(*) OVER (PARTITION BY country_key, token) AS n FROM x WHERE source <> 'S1')
-SELECT DISTINCT a.entity_id AS q, b.entity_id AS r FROM x a JOIN b USING (country_key, token) WHERE a.source = 'S1' AND b.n <= {BLOCK}""")
+SELECT DISTINCT a.entity_id AS q, b.entity_id AS r FROM x a JOIN b USING (country_key, token) WHERE a.source = 'S1' AND b.n <= {NUMBERS}""")
 def _(spark, sf):
     rows = records.from_documents(table(spark, sf, "documents")).withColumn("numbers", tx.canonical_numbers(F.col("basic")))
-    return blocking.number_block(rows.where("source = 'S1'"), rows.where("source <> 'S1'"), "numbers", BLOCK)
+    return blocking.number_block(rows.where("source = 'S1'"), rows.where("source <> 'S1'"), "numbers", NUMBERS)
 
 
 @query("idf_topk", f"WITH {R} SELECT * FROM ({topk_sql(('name_content',))})")
@@ -339,7 +339,7 @@ def _(spark, sf):
 
 @query("char_ngram_topk")
 def _(spark, sf):
-    return blocking.char_top_k(*sides(spark, sf), "name_content", max_df=DF, top_k=TOP)
+    return blocking.char_top_k(*sides(spark, sf), "name_content")
 
 
 CAND = ("q", "r", "mask", "hybrid_translated_rank", "blocking_channels", "num_blocking_channels", "candidates_for_source1")

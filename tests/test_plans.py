@@ -197,3 +197,16 @@ def test_dictionaries_are_bounded(spark, monkeypatch):
     monkeypatch.setattr(tk, "MOST_WORDS", 4)
     with pytest.raises(ValueError):
         tk.dictionary(words)
+
+
+def test_blocks_and_tokens_over_their_limit_are_left_out_whole(spark):
+    rows = lambda d: spark.createDataFrame([(k, v, "us") for k, v in d.items()], "entity_id string, n string, country_key string")
+    q = rows({"S1-1": "7 oak", "S1-2": "8 elm", "S1-3": ""})
+    r = rows({"S2-1": "7 oak", "S2-2": "7 oak", "S2-3": "7 oak", "S2-4": "8 elm", "S2-5": "8 elm", "S2-6": "9 elm", "S2-7": ""})
+    pairs = lambda df: sorted((x.q, x.r) for x in df.select("q", "r").collect())
+    elm = [("S1-2", "S2-4"), ("S1-2", "S2-5")]
+    oak = [("S1-1", f"S2-{i}") for i in (1, 2, 3)]
+    assert pairs(blocking.exact_block(q, r, "n", 2)) == elm and pairs(blocking.exact_block(q, r, "n", 3)) == oak + elm
+    assert pairs(blocking.number_block(q, r, "n", 2)) == elm and pairs(blocking.number_block(q, r, "n", 3))[:3] == oak
+    assert pairs(blocking.idf_top_k(q, r, ["n"], max_df=2)) == elm
+    assert pairs(blocking.idf_top_k(q, r, ["n"], max_df=3, top_k=1)) == [("S1-1", "S2-1"), ("S1-2", "S2-4")]
