@@ -14,19 +14,26 @@ from pyspark.sql.types import DoubleType
 from quillon.functions import text as tx
 
 
-def lcs(a: str, b: str) -> int:
-    """Length of the longest common subsequence; one big-integer step for each character of b."""
-    if not a or not b:
-        return 0
+def _places(a: str) -> dict[str, int]:
+    """For each character the set of its places, as bits."""
     at: dict[str, int] = {}
     for i, c in enumerate(a):
         at[c] = at.get(c, 0) | 1 << i
-    full = (1 << len(a)) - 1
+    return at
+
+
+def _lcs(at: dict[str, int], n: int, b: str) -> int:
+    full = (1 << n) - 1
     s = full
     for c in b:
         u = s & at.get(c, 0)
         s = (s + u | s - u) & full
-    return len(a) - s.bit_count()
+    return n - s.bit_count()
+
+
+def lcs(a: str, b: str) -> int:
+    """Length of the longest common subsequence; one big-integer step for each character of b."""
+    return _lcs(_places(a), len(a), b) if a and b else 0
 
 
 def ratio(a: str, b: str) -> float:
@@ -34,26 +41,41 @@ def ratio(a: str, b: str) -> float:
     return 2 * lcs(a, b) / n if n else 1.0
 
 
+def _best_window(a: str, b: str) -> float:
+    """Best ratio of a with windows of b of a's length, cut ones at both ends included.
+
+    The characters that a window shares with a, in any order, bound its ratio; windows are tried by that bound until none
+    can be better than the best found.
+    """
+    n, at = len(a), _places(a)
+    need = {c: x.bit_count() for c, x in at.items()}
+    shared, bounds = 0, []
+    for i in range(1 - n, len(b)):
+        if i + n <= len(b) and (c := b[i + n - 1]) in need:
+            shared += need[c] > 0
+            need[c] -= 1
+        if i > 0 and (c := b[i - 1]) in need:
+            need[c] += 1
+            shared -= need[c] > 0
+        if shared:
+            bounds.append((2 * shared / (n + min(i + n, len(b)) - max(i, 0)), i))
+    best = 0.0
+    for bound, i in sorted(bounds, reverse=True):
+        if bound <= best:
+            break
+        window = b[max(i, 0) : i + n]
+        best = max(best, 2 * _lcs(at, n, window) / (n + len(window)))
+    return best
+
+
 def partial_ratio(a: str, b: str) -> float:
-    """Best ratio of the shorter text with windows of the longer, cut ones at both ends included."""
+    """Best ratio of the shorter text with windows of the longer; of texts of one length, either's with the other's."""
     if len(a) > len(b):
         a, b = b, a
     if not a:
         return 1.0 if not b else 0.0
-    best, n = 0.0, len(a)
-    starts = set(a)
-    for i in range(1 - n, len(b)):
-        window = b[max(i, 0) : i + n]
-        if window and (window[-1] in starts or window[0] in starts):  # any other is no better than its neighbour
-            best = max(best, ratio(a, window))
-            if best == 1:
-                break
-    if len(a) == len(b) and best < 1:
-        for i in range(1 - n, n):
-            window = a[max(i, 0) : i + n]
-            if window:
-                best = max(best, ratio(b, window))
-    return best
+    best = _best_window(a, b)
+    return max(best, _best_window(b, a)) if len(a) == len(b) and best < 1 else best
 
 
 def token_sort_ratio(a: str, b: str) -> float:
