@@ -14,6 +14,7 @@ are, in batches; the others word by word.
 
 from __future__ import annotations
 
+import math
 import zlib
 from collections.abc import Iterator
 from typing import NamedTuple
@@ -30,8 +31,8 @@ CAPACITY = 4096
 END = 1
 #: The pre-tokenizer's pattern; (?U) gives \s its Unicode meaning.
 PATTERN = r"(?U)'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+"
-#: Rows of one length that are ranked together.
-GROUP = 50_000
+#: Rows of one length that are ranked together, about; more where the root of all rows is more.
+GROUP = 1000
 #: Characters of which texts are in normal form C, whatever stands beside them, and whose lower case is one character wherever
 #: they stand: Latin, Greek (but capital sigma), Cyrillic, Hebrew and Arabic letters, punctuation, currency, arrows and
 #: symbols, kana, Chinese characters, Hangul syllables, full-width forms, emoji. Combining marks that compose aren't among them.
@@ -143,9 +144,10 @@ def pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, end: int = END)
 
 
 def ranked(rows: DataFrame, total: int) -> DataFrame:
-    """Adds n: each row's place, from 0, among those of its length. Large lengths are ranked in groups."""
-    groups = -(-max(total, 1) // GROUP)
-    rows = rows.withColumn("part", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(groups)))
+    """Adds n: each row's place, from 0, among those of its length. Frequent lengths are ranked in groups of about the root of
+    total, so neither a group nor the groups of one length are many; what is broadcast is a row a length."""
+    groups = rows.groupBy("length").agg(F.ceil(F.count("*") / max(GROUP, math.isqrt(total))).alias("groups"))
+    rows = rows.join(F.broadcast(groups), "length").withColumn("part", F.pmod(F.xxhash64("doc_id", "piece"), F.col("groups"))).drop("groups")
     before = Window.partitionBy("length").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     bases = rows.groupBy("length", "part").agg(F.count("*").alias("c")).select("length", "part", F.coalesce(F.sum("c").over(before), F.lit(0)).alias("base"))
     inside = F.row_number().over(Window.partitionBy("length", "part").orderBy("doc_id", "piece", "ids_crc32"))

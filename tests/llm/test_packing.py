@@ -30,7 +30,7 @@ def sound(rows, capacity):
     return len(bins)
 
 
-def test_pieces_and_bins(spark):
+def test_pieces_and_bins(spark, monkeypatch):
     rnd = random.Random(5)
     alphabet = "abAB'sSİΣ \n\t.,!<|>19éÉJ̌ß́　\U0001f680K"
     texts = [None, "", "  ", "it's J̌ <|endoftext|> x<|startoftext|>", "word " * 9000, "same", "same", "x\x1cy \x85z", "Ångström Å"] + ["".join(rnd.choice(alphabet) for _ in range(rnd.randint(1, 80))) for _ in range(300)]
@@ -38,6 +38,9 @@ def test_pieces_and_bins(spark):
     got = packing.pack(df, PATH).collect()
     assert sorted((r.doc_id, r.piece, r.start, r.length, r.ids_crc32) for r in got) == sorted(x for i, t in enumerate(texts) for x in expected(i, t))
     sound(got, 4096)
+    monkeypatch.setattr(packing, "GROUP", 3)  # many groups of one length
+    again = packing.pack(df, PATH).collect()
+    assert len(again) == len(got) and sound(again, 4096) == sound(got, 4096)
     nulls = spark.createDataFrame([(None, "a"), (None, "a"), (1, None)], "doc_id long, text string")
     assert sound(packing.pack(nulls, PATH, 8).collect(), 8) >= 1
     assert packing.pack(df.limit(0), PATH).count() == 0
