@@ -19,6 +19,8 @@ os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 #: What separates words: space and the ASCII controls from tab to carriage return.
 SPACES = "[\\x20\\x09-\\x0D]"
 MASK = (1 << 64) - 1
+#: A key that holds more than one row of so many is hot, so that fewer keys than this can be; parts that its rows are dealt to.
+HOT, SALTS = 1000, 64
 
 
 def fold(key: Column | str, parts: int) -> Column:
@@ -60,6 +62,22 @@ def drop_table(df: DataFrame) -> None:
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def is_hot(rows: Column | str, total: int) -> Column:
+    """Whether a key with this number of rows, of total, is hot."""
+    return (F.col(rows) if isinstance(rows, str) else rows) * HOT > total
+
+
+def salted_join(rows: DataFrame, said: DataFrame, keys: list[str], hot: DataFrame, by: str, how: str = "inner") -> DataFrame:
+    """rows joined by keys to said; rows of the keys in ``hot``, fewer than ``HOT`` by is_hot(), are dealt to ``SALTS`` parts by a
+    hash of ``by``, in each of which said's rows for them stand."""
+    marks = F.broadcast(hot.select(*keys, F.lit(SALTS).alias("salts")))
+    salt = F.when(F.col("salts").isNull(), F.lit(0)).otherwise(F.pmod(F.xxhash64(by), F.lit(SALTS))).cast("int")
+    every = F.explode(F.sequence(F.lit(0), F.coalesce("salts", F.lit(1)) - 1))
+    left = rows.join(marks, keys, "left").withColumn("salt", salt).drop("salts")
+    right = said.join(marks, keys, "left").withColumn("salt", every).drop("salts")
+    return left.join(right, [*keys, "salt"], how).drop("salt")
+
+
 def fresh(df: DataFrame, name: str) -> str:
     """The name, or one like it that no column of df has."""
     held = {c.lower() for c in df.columns}

@@ -288,15 +288,15 @@ def assigned(docs: DataFrame, k: int, percent: int) -> DataFrame:
     # what a class and its component need to say: the smallest doc_id
     least = named.groupBy("a", "b", "n").agg(F.min("row").alias("id"), F.min("doc_id").alias("least"), F.count("*").alias("rows"))
     if labels is None:
-        said = least.where("rows > 1").select("a", "b", "n", F.col("least").alias("component"))
+        said = least.where("rows > 1").select("a", "b", "n", "rows", F.col("least").alias("component"))
     else:
         with_label = least.join(labels, "id", "left")
         lowest = with_label.where("component IS NOT NULL").groupBy("component").agg(F.min("least").alias("lowest"))
-        said = with_label.join(lowest, "component", "left").where("rows > 1 OR lowest IS NOT NULL").select("a", "b", "n", F.coalesce("lowest", "least").alias("component"))
-    said = common.table(said, "said")
+        said = with_label.join(lowest, "component", "left").where("rows > 1 OR lowest IS NOT NULL").select("a", "b", "n", "rows", F.coalesce("lowest", "least").alias("component"))
+    said = common.table(said.withColumn("hot", common.is_hot("rows", rows.count())).drop("rows"), "said")
     if labels is not None:
         common.drop_table(labels)
-    out = rows.select("doc_id", "mark", "n", "a", "b").join(said, ["a", "b", "n"], "left")
+    out = common.salted_join(rows.select("row", "doc_id", "mark", "n", "a", "b"), said.drop("hot"), ["a", "b", "n"], said.where("hot"), "row", "left")
     own = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id"))
     return out.select("doc_id", "mark", F.col("n").alias("n_shingles"), own.alias("component_id"), F.coalesce(F.col("doc_id") == own, F.lit(True)).alias("kept"))
 
