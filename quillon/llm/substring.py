@@ -218,18 +218,20 @@ def repeated(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFra
     """doc_id, mark, spans (start, end in words) that documents with smaller ids hold too; docs: doc_id, mark, text."""
     spark = docs.sparkSession
     found = common.table(occurrences(docs, window, min(gram, window)), "segments")
-    twice = found.groupBy("anchor").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low < high").select("anchor")
-    every, found = found, common.table(found.join(twice, "anchor"), "candidates")
+    twice = found.groupBy("anchor").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high"), F.count("*").alias("rows")).where("low < high")
+    hot = twice.where(common.is_hot("rows", found.count()))
+    every, found = found, common.table(common.salted_join(found, twice.select("anchor"), ["anchor"], hot, "doc_id"), "candidates")
     common.drop_table(every)
     common.release(spark)
-    once = found.groupBy("anchor", "content", "number").agg(F.min(F.struct("doc_id", "mark", "start")).alias("at"))
+    once = found.groupBy("anchor", "content", "number").agg(F.min(F.struct("doc_id", "mark", "start")).alias("at"), F.count("*").alias("rows"))
     parts = once.groupBy("anchor").agg(F.ceil(F.count("*") / GROUP).cast("int").alias("parts"))
-    once = common.table(once.join(parts, "anchor").select("anchor", "content", "number", "parts", "at.*"), "distinct")
+    once = common.table(once.join(parts, "anchor").select("anchor", "content", "number", "parts", "rows", "at.*"), "distinct")
     shards = max(1, -(-once.count() // SHARD))
     results = common.table(searched(cut(docs, once, window), shards, window), "matches")
     common.release(spark)
-    runs = results.select("anchor", "content", "number", F.explode("runs").alias("run"))
-    spans = found.join(runs, ["anchor", "content", "number"]).where("run.owner < doc_id")
+    keys = ["anchor", "content", "number"]
+    runs = results.select(*keys, F.explode("runs").alias("run"))
+    spans = common.salted_join(found, runs, keys, once.where(common.is_hot("rows", found.count())), "doc_id").where("run.owner < doc_id")
     return spans.select("doc_id", "mark", (F.col("start") + F.col("run.first")).alias("start"), (F.col("start") + F.col("run.end") + window - 1).alias("end"))
 
 

@@ -57,6 +57,9 @@ def test_follows_brute_force(spark, monkeypatch):
     monkeypatch.setattr(substring, "GROUP", 2)  # parts of a hot anchor
     monkeypatch.setattr(substring, "SHARD", 128)
     assert got(substring.removal(df)) == brute(rows)
+    for hot in (1, 30):  # no anchor is dealt out, the large ones; above: all
+        monkeypatch.setattr(substring.common, "HOT", hot)
+        assert got(substring.removal(df)) == brute(rows)
     assert substring.removal(df.limit(0)).count() == 0
 
 
