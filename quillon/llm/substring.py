@@ -223,15 +223,17 @@ def repeated(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFra
     every, found = found, common.table(common.salted_join(found, twice.select("anchor"), ["anchor"], hot, "doc_id"), "candidates")
     common.drop_table(every)
     common.release(spark)
+    total = found.count()
     once = found.groupBy("anchor", "content", "number").agg(F.min(F.struct("doc_id", "mark", "start")).alias("at"), F.count("*").alias("rows"))
-    parts = once.groupBy("anchor").agg(F.ceil(F.count("*") / GROUP).cast("int").alias("parts"))
-    once = common.table(once.join(parts, "anchor").select("anchor", "content", "number", "parts", "rows", "at.*"), "distinct")
+    parts = once.groupBy("anchor").agg(F.ceil(F.count("*") / GROUP).cast("int").alias("parts"), F.count("*").alias("different"))
+    hot = parts.where(common.is_hot("different", total))
+    once = common.table(common.salted_join(once, parts.drop("different"), ["anchor"], hot, "content").select("anchor", "content", "number", "parts", "rows", "at.*"), "distinct")
     shards = max(1, -(-once.count() // SHARD))
     results = common.table(searched(cut(docs, once, window), shards, window), "matches")
     common.release(spark)
     keys = ["anchor", "content", "number"]
     runs = results.select(*keys, F.explode("runs").alias("run"))
-    spans = common.salted_join(found, runs, keys, once.where(common.is_hot("rows", found.count())), "doc_id").where("run.owner < doc_id")
+    spans = common.salted_join(found, runs, keys, once.where(common.is_hot("rows", total)), "doc_id").where("run.owner < doc_id")
     return spans.select("doc_id", "mark", (F.col("start") + F.col("run.first")).alias("start"), (F.col("start") + F.col("run.end") + window - 1).alias("end"))
 
 
