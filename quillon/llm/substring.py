@@ -7,8 +7,9 @@ once, with their smallest document. A shard holds an FM-index over its segments,
 it by backward search: matching statistics cut at the window's length give each window's smallest document. Runs of windows with a
 smaller document than a segment's own become the intervals of that document that are removed.
 
-Segments of an anchor with more than ``GROUP`` different texts are indexed in parts, and streamed through each part: a task
-holds one index of about ``SHARD`` segments and one batch of those that are searched in it, however many there are.
+Segments of an anchor with more than ``GROUP`` different texts are dealt to parts of about that many, and each pair of parts is a
+group: the one is indexed, the other searched in it. A task holds one index of about ``SHARD`` segments and one batch of those that
+are searched in it, and no group grows with its anchor.
 
 Defined results: null texts have no words. Rows with a null id are neither changed nor a source. Rows that share an id
 are no sources for each other, and keep their texts apart. Kept words are joined by one space. An empty table gives no
@@ -161,7 +162,7 @@ class Shard:
 
 
 def blocks(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[tuple[pa.Table, bool]]:
-    """Rows sorted by (anchor, part), those of the part's own first, in tables, and whether a table begins a new index.
+    """Rows sorted by (anchor, part, slice), those of the part's own first, in tables, and whether a table begins a new index.
 
     A table that begins one holds whole groups, or all own rows of a group of more than ``size`` and some of its others; tables that
     follow it without beginning one hold others of that group.
@@ -169,13 +170,13 @@ def blocks(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[tuple[pa.Ta
     held, n, last, streamed = [], 0, None, False  # last: the group of the last row; streamed: its index is made
 
     def key(b: pa.RecordBatch, i: int) -> tuple:
-        return b["anchor"][i].as_py(), b["part"][i].as_py()
+        return b["anchor"][i].as_py(), b["part"][i].as_py(), b["slice"][i].as_py()
 
     for b in batches:
         if not b.num_rows:
             continue
-        a, p = b["anchor"].to_numpy(), b["part"].to_numpy()
-        cuts = np.concatenate(([0], np.flatnonzero((a[1:] != a[:-1]) | (p[1:] != p[:-1])) + 1, [b.num_rows]))
+        a, p, s = (b[c].to_numpy() for c in ("anchor", "part", "slice"))
+        cuts = np.concatenate(([0], np.flatnonzero((a[1:] != a[:-1]) | (p[1:] != p[:-1]) | (s[1:] != s[:-1])) + 1, [b.num_rows]))
         for i, j in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
             rows = b.slice(i, j - i)
             if key(rows, 0) != last:
@@ -196,9 +197,15 @@ def blocks(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[tuple[pa.Ta
 
 
 def searched(texts: DataFrame, shards: int, window: int) -> DataFrame:
-    """anchor, content, number, runs (first window, end, least owner): the segments streamed through the shards' indexes."""
-    part = F.pmod(F.xxhash64("content"), F.col("parts"))
-    rows = texts.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).withColumn("own", part == F.col("part"))
+    """anchor, content, number, runs (first window, end, least owner): the segments streamed through the shards' indexes.
+
+    A segment goes to its own part of the index in every slice, and in its own slice is asked of every part.
+    """
+    mine, every = F.pmod(F.xxhash64("content"), F.col("parts")).cast("int"), F.sequence(F.lit(0), F.col("parts") - 1)
+    pair = lambda p, s: F.struct(p.alias("part"), s.alias("slice"))
+    groups = F.array_union(F.transform(every, lambda s: pair(mine, s)), F.transform(every, lambda p: pair(p, mine)))
+    rows = texts.withColumn("group", F.explode(groups)).withColumns({"part": F.col("group.part"), "slice": F.col("group.slice")})
+    rows = rows.withColumns({"own": F.col("part") == mine, "asked": F.col("slice") == mine})
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shard = None
@@ -206,11 +213,12 @@ def searched(texts: DataFrame, shards: int, window: int) -> DataFrame:
             if new:  # different anchors have no window in common, so groups can share an index
                 shard = None
                 shard = Shard(t.filter(t["own"]), window)
+            t = t.filter(t["asked"])
             for i in range(0, t.num_rows, SHARD):
                 yield shard.search(t.slice(i, SHARD).combine_chunks())
 
-    dealt = rows.repartition(shards, "anchor", "part").sortWithinPartitions("anchor", "part", F.desc("own"))
-    dealt = dealt.select("anchor", "content", "number", "part", "own", "owner", "words")
+    dealt = rows.repartition(shards, "anchor", "part", "slice").sortWithinPartitions("anchor", "part", "slice", F.desc("own"))
+    dealt = dealt.select("anchor", "content", "number", "part", "slice", "own", "asked", "owner", "words")
     return dealt.mapInArrow(run, "anchor long, content long, number int, runs array<struct<first:int,end:int,owner:long>>")
 
 
@@ -228,7 +236,7 @@ def repeated(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFra
     parts = once.groupBy("anchor").agg(F.ceil(F.count("*") / GROUP).cast("int").alias("parts"), F.count("*").alias("different"))
     hot = parts.where(common.is_hot("different", total))
     once = common.table(common.salted_join(once, parts.drop("different"), ["anchor"], hot, "content").select("anchor", "content", "number", "parts", "rows", "at.*"), "distinct")
-    shards = max(1, -(-once.count() // SHARD))
+    shards = max(1, -(-(once.agg(F.sum(2 * F.col("parts") - 1)).first()[0] or 0) // SHARD))
     results = common.table(searched(cut(docs, once, window), shards, window), "matches")
     common.release(spark)
     keys = ["anchor", "content", "number"]

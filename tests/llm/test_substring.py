@@ -122,6 +122,7 @@ def test_shards_stay_bounded_and_find_what_one_index_finds():
     rows.sort(key=lambda r: (r[0], r[3], not r[4]))
     schema = pa.schema([("anchor", pa.int64()), ("content", pa.int64()), ("number", pa.int32()), ("part", pa.int32()), ("own", pa.bool_()), ("owner", pa.int64()), ("words", pa.string())])
     whole = pa.Table.from_pylist([dict(zip(schema.names, r)) for r in rows], schema)
+    whole = whole.append_column("slice", pa.array([0] * len(rows), pa.int32()))
 
     def run(size):
         out, shard, most = {}, None, 0
