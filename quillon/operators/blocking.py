@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from quillon.functions import text as tx
+from quillon.operators import retrieval
 from quillon.operators import tokens as tk
 
 MAX_BLOCK, MAX_NUMBER_BLOCK, MAX_DF, TOP_K = 1000, 500, 50_000, 100
@@ -39,29 +40,36 @@ def number_block(queries: DataFrame, reference: DataFrame, view: str = "address_
     return _guarded(side(queries), side(reference), ["country_key", "token"], max_block).distinct()
 
 
-def bag(df: DataFrame, views: Sequence[str | Column]) -> DataFrame:
-    """entity_id, country_key, token: distinct tokens, marked with the place of their view so that fields never cross."""
+def marked(views: Sequence[str | Column]) -> Column:
+    """Distinct tokens of all views, marked with the place of their view so that fields never cross."""
     cols = [F.col(v) if isinstance(v, str) else v for v in views]
     mark = lambda i: lambda t: F.concat(F.lit(f"{i}:"), t)
-    marked = [F.transform(tx.tokens(c), mark(i)) for i, c in enumerate(cols)]
-    return df.select("entity_id", "country_key", F.explode(F.array_distinct(F.concat(*marked))).alias("token"))
+    return F.array_distinct(F.concat(*(F.transform(tx.tokens(c), mark(i)) for i, c in enumerate(cols))))
+
+
+def bag(df: DataFrame, views: Sequence[str | Column]) -> DataFrame:
+    """entity_id, country_key, token: each row's marked() tokens."""
+    return df.select("entity_id", "country_key", F.explode(marked(views)).alias("token"))
+
+
+def vectors(rows: DataFrame, value: Column) -> DataFrame:
+    """id, country_key, tokens (hashed), values, of rows entity_id, country_key, token, as retrieval.top_k() takes them."""
+    held = rows.groupBy("entity_id", "country_key").agg(F.collect_set(F.struct(F.xxhash64("token").alias("t"), value.alias("x"))).alias("v"))
+    return held.select(F.col("entity_id").alias("id"), "country_key", F.col("v.t").alias("tokens"), F.col("v.x").alias("values"))
 
 
 def idf_top_k(queries: DataFrame, reference: DataFrame, views: Sequence[str | Column], max_df: int = MAX_DF, top_k: int = TOP_K, ref_views: Sequence[str | Column] | None = None) -> DataFrame:
     """q, r, score (in whole parts), rank (from 0): the rows with the largest sum of IDFs of shared tokens.
 
     Frequencies are counted in the reference of each country; tokens beyond max_df are left out, ties go to the smaller id.
-    Postings meet their IDF before the join, so the join carries one number a row, and ranks are cut by partial top-k.
+    Only the queries' tokens meet their IDF; the search reads inverted lists and makes no row for a shared token.
     """
-    postings = bag(reference, ref_views or views)
     n = reference.groupBy("country_key").agg(F.count("*").alias("n"))
-    weights = postings.groupBy("country_key", "token").agg(F.count("*").alias("df")).where(F.col("df") <= max_df)
+    weights = bag(reference, ref_views or views).groupBy("country_key", "token").agg(F.count("*").alias("df")).where(F.col("df") <= max_df)
     weights = weights.join(F.broadcast(n), "country_key").select("country_key", "token", tk.idf_blocking(F.col("n"), F.col("df")).alias("w")).where("w > 0")
-    right = postings.join(weights, ["country_key", "token"]).withColumnRenamed("entity_id", "r")
-    hits = bag(queries, views).withColumnRenamed("entity_id", "q").join(right, ["country_key", "token"])
-    scores = hits.groupBy("q", "r").agg(F.sum("w").alias("score"))
-    ranked = scores.withColumn("rank", F.row_number().over(Window.partitionBy("q").orderBy(F.desc("score"), "r")) - 1)
-    return ranked.where(F.col("rank") < top_k)
+    left = vectors(bag(queries, views).join(weights, ["country_key", "token"]), F.col("w"))
+    right = reference.select(F.col("entity_id").alias("id"), "country_key", F.transform(marked(ref_views or views), lambda t: F.xxhash64(t)).alias("tokens")).where(F.size("tokens") > 0)
+    return retrieval.top_k(left, right, reference, queries, top_k)
 
 
 def char_ngrams(df: DataFrame, view: str, sizes: tuple[int, int] = (3, 4)) -> DataFrame:
