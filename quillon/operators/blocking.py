@@ -96,15 +96,14 @@ def char_top_k(queries: DataFrame, reference: DataFrame, view: str, sizes: tuple
     idf = right.groupBy("country_key", "token").agg(F.count("*").alias("df")).where(F.col("df").between(min_df, max_df)).join(F.broadcast(n), "country_key")
     idf = idf.select("country_key", "token", (F.log((1 + F.col("n")) / (1 + F.col("df"))) + 1).alias("idf"))
 
-    def vectors(rows: DataFrame, name: str) -> DataFrame:
-        rows = rows.join(idf, ["country_key", "token"]).withColumn("x", F.round((1 + F.log("tf")) * F.col("idf") * 1e6).cast("long"))
-        norm = rows.groupBy("entity_id").agg(F.sqrt(F.sum(F.col("x") * F.col("x"))).alias("norm"))
-        unit = F.round(F.col("x") / F.col("norm") * 1e6).cast("long")
-        return rows.join(norm, "entity_id").select("country_key", "token", F.col("entity_id").alias(name), unit.alias(f"x_{name}"))
-
-    hits = vectors(char_ngrams(queries, view, sizes), "q").join(vectors(right, "r"), ["country_key", "token"])
-    scores = hits.groupBy("q", "r").agg(F.sum(F.col("x_q") * F.col("x_r")).alias("score")).where("score > 0")
-    return scores.withColumn("rank", F.row_number().over(Window.partitionBy("q").orderBy(F.desc("score"), "r")) - 1).where(F.col("rank") < top_k)
+    def unit(rows: DataFrame) -> DataFrame:
+        rows = vectors(rows.join(idf, ["country_key", "token"]), F.round((1 + F.log("tf")) * F.col("idf") * 1e6).cast("long"))
+        rows = rows.withColumn("norm", F.sqrt(F.aggregate("values", F.lit(0).cast("long"), lambda s, x: s + x * x)))
+        both = F.arrays_zip("tokens", F.transform("values", lambda x: F.round(x / F.col("norm") * 1e6).cast("long")).alias("values"))
+        some = F.filter(both, lambda v: v["values"] > 0)
+        return rows.select("id", "country_key", some["tokens"].alias("tokens"), some["values"].alias("values"))
+
+    return retrieval.top_k(unit(char_ngrams(queries, view, sizes)), unit(right), reference, queries, top_k)
 
 
 @dataclass(frozen=True)

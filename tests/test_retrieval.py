@@ -62,3 +62,14 @@ def test_frequent_tokens_are_left_out_and_ties_go_to_the_smaller_id(spark):
     right, reference = records(spark, 4, 200, "S2", ["x", "y", "z"], 4)
     rows = blocking.idf_top_k(queries, reference, ["view"], max_df=70, top_k=7).collect()
     assert sorted((r.q, r.r, r.score, r["rank"]) for r in rows) == brute(left, right, 7, 70)
+
+
+def test_character_search_makes_no_row_for_a_shared_ngram(spark):
+    _, queries = records(spark, 5, 100, "S1", ["stone", "river", "brook"], 3)
+    _, reference = records(spark, 6, 200, "S2", ["stones", "rivers", "brook"], 3)
+    rows, most = most_rows(blocking.char_top_k(queries, reference, "view", top_k=4))
+    ranks = {}
+    for r in rows:
+        ranks.setdefault(r.q, []).append((r["rank"], -r.score, r.r))
+    assert all([x[0] for x in sorted(v)] == list(range(len(v))) and [x[1:] for x in sorted(v)] == sorted(x[1:] for x in v) for v in ranks.values())
+    assert max(map(len, ranks.values())) == 4 and most < 6_000  # a join makes at least 20,000: all pairs of a country share "all"
