@@ -137,12 +137,12 @@ FINAL_CHANNELS = (
 
 
 def union(found: dict[str, DataFrame]) -> DataFrame:
-    """q, r, mask (bit i: channel i), <channel>_rank (-1: not ranked): each pair once, from all channels."""
+    """q, r, mask (bit i: channel i), <channel>_rank (-1: not ranked): each pair once, from all channels; they lie by r."""
     names = list(found)
     parts = [df.select("q", "r", F.lit(1 << i).alias("bit"), F.lit(i).alias("channel"), "rank") for i, df in enumerate(found.values())]
     rows = reduce(DataFrame.unionByName, parts)
     ranks = [F.coalesce(F.max(F.when(F.col("channel") == i, F.col("rank"))), F.lit(-1)).alias(f"{c}_rank") for i, c in enumerate(names)]
-    return rows.groupBy("q", "r").agg(F.bit_or("bit").alias("mask"), *ranks)
+    return rows.repartition("r").groupBy("q", "r").agg(F.bit_or("bit").alias("mask"), *ranks)
 
 
 def generate(queries: DataFrame, reference: DataFrame, channels: Sequence[Channel] = FINAL_CHANNELS) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
@@ -86,8 +86,13 @@ def from_documents(docs: DataFrame) -> DataFrame:
     return rows.withColumns({"country_raw": F.col("country_key"), "country": F.col("country_key")})
 
 
+def text_digest() -> Column:
+    """128 bits of a record's whole text; null where it has none. Records of one country are linked where it is equal."""
+    return F.when(F.col("basic") != "", F.unhex(F.md5("basic")))
+
+
 def silver_truth(records: DataFrame) -> DataFrame:
-    """q, r of records of S1 and of the other sources with equal country and equal whole text, told by 128 bits of it."""
+    """q, r of records of S1 and of the other sources with equal country and equal text_digest()."""
     rows = records.where("basic <> ''")
-    side = lambda c, k: rows.where(c).select(F.col("entity_id").alias(k), "country_key", F.md5("basic").alias("digest"))
+    side = lambda c, k: rows.where(c).select(F.col("entity_id").alias(k), "country_key", text_digest().alias("digest"))
     return side("source = 'S1'", "q").join(side("source <> 'S1'", "r"), ["country_key", "digest"]).select("q", "r")
