@@ -34,6 +34,18 @@ def exact_block(queries: DataFrame, reference: DataFrame, view: str, max_block:
     return _guarded(side(queries), side(reference), ["country_key", "key"], max_block)
 
 
+def keyed(queries: DataFrame, reference: DataFrame, channels: dict[str, Channel]) -> tuple[DataFrame, DataFrame]:
+    """Both sides with numbers, by their names, that are equal where a channel's exact_block() pairs them: 64 bits of hash of the view, null of '' and of an oversize block."""
+    out = reference
+    for name, c in channels.items():
+        own = F.when(F.col(c.views[0]) != "", F.xxhash64(c.views[0])).alias(name)
+        large = reference.select("country_key", own).where(F.col(name).isNotNull()).groupBy("country_key", name).agg(F.count("*").alias("n")).where(F.col("n") > c.options.get("max_block", MAX_BLOCK))
+        out = out.withColumn(name, own).join(F.broadcast(large), ["country_key", name], "left")  # fewer than one of max_block rows
+        out = out.withColumn(name, F.when(F.col("n").isNull(), F.col(name))).drop("n")
+        queries = queries.withColumn(name, own)
+    return queries, out
+
+
 def number_block(queries: DataFrame, reference: DataFrame, view: str = "address_numbers", max_block: int = MAX_NUMBER_BLOCK, min_digits: int = 1) -> DataFrame:
     """Pairs that share a number; the guard holds for each number alone."""
     side = lambda d: tk.exploded(d, view, "entity_id", "country_key").where(F.length("token") >= min_digits)
@@ -58,8 +70,10 @@ def vectors(rows: DataFrame, value: Column) -> DataFrame:
     return held.select(F.col("entity_id").alias("id"), "country_key", F.col("v.t").alias("tokens"), F.col("v.x").alias("values"))
 
 
-def idf_top_k(queries: DataFrame, reference: DataFrame, views: Sequence[str | Column], max_df: int = MAX_DF, top_k: int = TOP_K, ref_views: Sequence[str | Column] | None = None) -> DataFrame:
-    """q, r, score (in whole parts), rank (from 0): the rows with the largest sum of IDFs of shared tokens.
+def idf_top_k(queries: DataFrame, reference: DataFrame, views: Sequence[str | Column], max_df: int = MAX_DF, top_k: int = TOP_K, ref_views: Sequence[str | Column] | None = None, carried: retrieval.Carried | None = None, keyed: tuple[DataFrame, DataFrame] | None = None) -> DataFrame:
+    """q, r, score (in whole parts), rank (from 0), what carried gives: the rows with the largest sum of IDFs of shared tokens.
+
+    keyed: both sides with carried's keys.
 
     Frequencies are counted in the reference of each country; tokens beyond max_df are left out, ties go to the smaller id.
     Only the queries' tokens meet their IDF; the search reads inverted lists and makes no row for a shared token.
@@ -68,8 +82,14 @@ def idf_top_k(queries: DataFrame, reference: DataFrame, views: Sequence[str | Co
     weights = bag(reference, ref_views or views).groupBy("country_key", "token").agg(F.count("*").alias("df")).where(F.col("df") <= max_df)
     weights = weights.join(F.broadcast(n), "country_key").select("country_key", "token", tk.idf_blocking(F.col("n"), F.col("df")).alias("w")).where("w > 0")
     left = vectors(bag(queries, views).join(weights, ["country_key", "token"]), F.col("w"))
-    right = reference.select(F.col("entity_id").alias("id"), "country_key", F.transform(marked(ref_views or views), lambda t: F.xxhash64(t)).alias("tokens")).where(F.size("tokens") > 0)
-    return retrieval.top_k(left, right, reference, queries, top_k)
+    more = (*carried.columns, *carried.keys) if carried else ()
+    if carried:  # rows without tokens may have equal keys
+        none = F.array().cast("array<bigint>")
+        left = (keyed[0] if keyed else queries).select(F.col("entity_id").alias("id"), "country_key", *more).join(left.drop("country_key"), "id", "left")
+        left = left.withColumns({c: F.coalesce(c, none) for c in ("tokens", "values")})
+    right = (keyed[1] if keyed else reference).select(F.col("entity_id").alias("id"), "country_key", F.transform(marked(ref_views or views), lambda t: F.xxhash64(t)).alias("tokens"), *more)
+    right = right if carried and carried.keys else right.where(F.size("tokens") > 0)
+    return retrieval.top_k(left, right, reference, queries, top_k, carried)
 
 
 def char_ngrams(df: DataFrame, view: str, sizes: tuple[int, int] = (3, 4)) -> DataFrame:
@@ -82,8 +102,8 @@ def char_ngrams(df: DataFrame, view: str, sizes: tuple[int, int] = (3, 4)) -> Da
     return rows.groupBy("entity_id", "country_key", "token").agg(F.count("*").alias("tf"))
 
 
-def char_top_k(queries: DataFrame, reference: DataFrame, view: str, sizes: tuple[int, int] = (3, 4), min_df: int = 2, max_df: int = 20_000, top_k: int = 50, only_empty_address: bool = False, deleet_reference: bool = False) -> DataFrame:
-    """q, r, score, rank: cosine of TF-IDF vectors of character n-grams (sublinear tf, smoothed idf), in whole parts.
+def char_top_k(queries: DataFrame, reference: DataFrame, view: str, sizes: tuple[int, int] = (3, 4), min_df: int = 2, max_df: int = 20_000, top_k: int = 50, only_empty_address: bool = False, deleet_reference: bool = False, carried: retrieval.Carried | None = None) -> DataFrame:
+    """q, r, score, rank, what carried gives: cosine of TF-IDF vectors of character n-grams (sublinear tf, smoothed idf), in whole parts.
 
     The reference may be held to records without an address, and its texts de-leeted.
     """
@@ -103,7 +123,8 @@ def char_top_k(queries: DataFrame, reference: DataFrame, view: str, sizes: tuple
         some = F.filter(both, lambda v: v["values"] > 0)
         return rows.select("id", "country_key", some["tokens"].alias("tokens"), some["values"].alias("values"))
 
-    return retrieval.top_k(unit(char_ngrams(queries, view, sizes)), unit(right), reference, queries, top_k)
+    with_more = lambda rows, d: rows.join(d.select(F.col("entity_id").alias("id"), *carried.columns), "id") if carried else rows
+    return retrieval.top_k(with_more(unit(char_ngrams(queries, view, sizes)), queries), with_more(unit(right), reference), reference, queries, top_k, carried)
 
 
 @dataclass(frozen=True)
@@ -116,15 +137,16 @@ class Channel:
     options: dict = field(default_factory=dict)
     ref_views: tuple[str, ...] | None = None
 
-    def run(self, queries: DataFrame, reference: DataFrame) -> DataFrame:
-        """q, r, rank (-1 where the channel has none)."""
+    def run(self, queries: DataFrame, reference: DataFrame, carried: retrieval.Carried | None = None, keyed: tuple[DataFrame, DataFrame] | None = None) -> DataFrame:
+        """q, r, rank (-1 where the channel has none), and what carried gives where the channel searches."""
+        more = carried.told if carried else ()
         if self.kind == "exact":
             return exact_block(queries, reference, self.views[0], **self.options).withColumn("rank", F.lit(-1))
         if self.kind == "number":
             return number_block(queries, reference, self.views[0], **self.options).withColumn("rank", F.lit(-1))
         if self.kind == "chars":
-            return char_top_k(queries, reference, self.views[0], **self.options).select("q", "r", "rank")
-        return idf_top_k(queries, reference, self.views, ref_views=self.ref_views, **self.options).select("q", "r", "rank")
+            return char_top_k(queries, reference, self.views[0], carried=carried, **self.options).select("q", "r", "rank", *more)
+        return idf_top_k(queries, reference, self.views, ref_views=self.ref_views, carried=carried, keyed=keyed, **self.options).select("q", "r", "rank", *more)
 
 
 #: The last needs records prepared as pairs' features need them (features.prepared): names de-leeted, the reference translated.
@@ -136,18 +158,18 @@ FINAL_CHANNELS = (
 )
 
 
-def union(found: dict[str, DataFrame]) -> DataFrame:
-    """q, r, mask (bit i: channel i), <channel>_rank (-1: not ranked): each pair once, from all channels; they lie by r."""
+def union(found: dict[str, DataFrame], by: str = "q") -> DataFrame:
+    """q, r, mask (bit i: channel i), <channel>_rank (-1: not ranked): each pair once, from all channels; they lie by q, or by r."""
     names = list(found)
     parts = [df.select("q", "r", F.lit(1 << i).alias("bit"), F.lit(i).alias("channel"), "rank") for i, df in enumerate(found.values())]
     rows = reduce(DataFrame.unionByName, parts)
     ranks = [F.coalesce(F.max(F.when(F.col("channel") == i, F.col("rank"))), F.lit(-1)).alias(f"{c}_rank") for i, c in enumerate(names)]
-    return rows.repartition("r").groupBy("q", "r").agg(F.bit_or("bit").alias("mask"), *ranks)
+    return rows.repartition(by).groupBy("q", "r").agg(F.bit_or("bit").alias("mask"), *ranks)
 
 
-def generate(queries: DataFrame, reference: DataFrame, channels: Sequence[Channel] = FINAL_CHANNELS) -> DataFrame:
+def generate(queries: DataFrame, reference: DataFrame, channels: Sequence[Channel] = FINAL_CHANNELS, by: str = "q") -> DataFrame:
     """Pairs of all channels with provenance: union(), blocking_channels, num_blocking_channels, candidates_for_source1."""
-    pairs = union({c.name: c.run(queries, reference) for c in channels})
+    pairs = union({c.name: c.run(queries, reference) for c in channels}, by)
     return labelled(pairs, [c.name for c in channels])
 
 

@@ -183,7 +183,7 @@ def transliteration_features(s, c) -> dict[str, Column]:
 def paired(pairs: DataFrame, s1: DataFrame, reference: DataFrame) -> DataFrame:
     """Pairs with both records' columns, s_ and c_; a pair of an id without a record is an error, not a lost row.
 
-    The reference comes first: pairs of blocking.union() lie by r, and what reads the result goes on by q.
+    The reference comes first: pairs of blocking.union() by "r" lie so already, and what reads the result goes on by q.
     """
     side = lambda d, p, k: d.select(*(F.col(x).alias(k if x == "entity_id" else f"{p}_{x}") for x in d.columns), F.lit(True).alias(f"__{p}"))
     rows = pairs.join(side(reference, "c", "r"), "r", "left").join(side(s1, "s", "q"), "q", "left")
