@@ -108,12 +108,16 @@ def broadcast_value(spark: SparkSession, value):
 def lean(batches):
     """The batches; memory of one goes back to the system before the next comes."""
     pa.set_memory_pool(pa.system_memory_pool())
-    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
     for b in batches:
         yield b
         del b
-        if trim:
-            trim(0)
+        trim()
+
+
+def trim() -> None:
+    """Gives memory that is free back to the system, where the C library can."""
+    if own := getattr(ctypes.CDLL(None), "malloc_trim", None):
+        own(0)
 
 
 # --- vectorised text handling in Arrow batches -------------------------------------------------------------------

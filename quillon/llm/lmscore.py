@@ -286,6 +286,8 @@ def score(docs: DataFrame, held_out) -> DataFrame:
     under = np.log10((1 + ADD * (v + 1)) if not n else (n + ADD * (v + 1)))
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        pa.set_memory_pool(pa.system_memory_pool())
+        common.trim()  # what the group before left
         known, numbers = head.value
         b = unpacked(left["rows"][0].as_py())
         levels = {False: [], True: []}
@@ -301,8 +303,14 @@ def score(docs: DataFrame, held_out) -> DataFrame:
         lists = pa.ListArray.from_arrays(pa.array(cuts.astype(np.int32)), pa.array(h[rare].view(np.int64)))
         word = Filter._count(np.concatenate(levels[False]).astype(np.int64), 1)[place]
         base = common.segment_sum(each[place], at)
-        _, place = np.unique(_placed(pairs(at, h), bits), return_inverse=True)
-        pair = Filter._count(np.concatenate(levels[True]).astype(np.int64), 1)[place]
+        del values, place, spot, there, each, rare
+        placed = _placed(pairs(at, h), bits)
+        del h
+        place = np.unique(placed, return_inverse=True)[1]
+        del placed
+        pair = Filter._count(np.concatenate(levels.pop(True)).astype(np.int64), 1)[place]
+        del place
+        common.trim()
         return pa.table(
             [b["doc_id"], b["held_out"], pa.array(np.diff(at)), pa.array(np.diff(at) - np.diff(cuts)), pa.array(base), pa.array(model_scores(word, pair, at, n, v)), lists],
             ["doc_id", "held_out", "n_tokens", "n_head", "head_score", "score", "rare"],
