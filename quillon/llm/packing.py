@@ -9,11 +9,13 @@ pieces of each length out to the planned places by their rank.
 Defined results: a null text is empty and makes a piece of the end token alone. Repeated rows are packed each on its
 own. Only documents of more than ``capacity`` tokens are cut. An empty table gives no rows; other columns are ignored. A text
 of any length is encoded whole. Texts with a character outside ``PLAIN`` or a special string go through the library as they
-are, in batches; the others word by word.
+are, in batches; the others are cut into words a batch at a time, and each distinct word is encoded.
 """
 
 from __future__ import annotations
 
+import functools
+import unicodedata
 import zlib
 from collections.abc import Iterator
 from typing import NamedTuple
@@ -28,8 +30,6 @@ from quillon.llm import common
 
 CAPACITY = 4096
 END = 1
-#: The pre-tokenizer's pattern; (?U) gives \s its Unicode meaning.
-PATTERN = r"(?U)'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+"
 #: Rows of one length that are ranked together.
 GROUP = 50_000
 #: Characters of which texts are in normal form C, whatever stands beside them, and whose lower case is one character wherever
@@ -42,9 +42,13 @@ PLAIN = (
     (0x30A0, 0x30FF), (0x4E00, 0x9FA5), (0xAC00, 0xD7A3), (0xFE0F, 0xFE0F), (0xFF01, 0xFF60), (0x1F300, 0x1F64F),
     (0x1F680, 0x1F6D0), (0x1F900, 0x1F92F),
 )
-#: Most characters are told by one range; only the others are looked up among all.
-BEYOND = r"[^\x{0}-\x{2FF}]"
+#: A character outside them, as a pattern for Spark.
 OTHER = r"(?![\x{0}-\x{12F}])[^" + "".join(rf"\x{{{a:X}}}-\x{{{b:X}}}" for a, b in PLAIN) + "]"
+#: Kinds of characters. Those from BEYOND on are in no text that is cut here.
+SPACE, LETTER, NUMBER, SIGN = range(4)
+BEYOND = 0x20000
+#: Most distinct words that a worker process holds with their ids.
+HELD = 400_000
 
 
 class Item(NamedTuple):
@@ -104,35 +108,146 @@ def plan(histogram: dict[int, int], capacity: int = CAPACITY) -> list[Bin]:
     return bins
 
 
+@functools.cache
+def kinds() -> np.ndarray:
+    """The kind of every character below ``BEYOND``, by its Unicode category."""
+    by = {"L": LETTER, "N": NUMBER}
+    out = np.array([by.get(unicodedata.category(chr(x))[0], SIGN) for x in range(BEYOND)], np.uint8)
+    out[[*range(0x09, 0x0E), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]] = SPACE
+    return out
+
+
+@functools.cache
+def plain() -> np.ndarray:
+    """Whether a character is in ``PLAIN``, for every character below ``BEYOND``."""
+    out = np.zeros(BEYOND, bool)
+    for a, b in PLAIN:
+        out[a : b + 1] = True
+    return out
+
+
+@functools.cache
+def lower_narrow() -> np.ndarray:
+    """The lower case of the first 256 characters, all of which stay among these."""
+    return np.frombuffer("".join(map(chr, range(256))).lower().encode("latin-1"), np.uint8)
+
+
+def cut(codes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The pre-tokenizer's words of lower-case characters: where each starts, where it ends, and which characters are in words.
+
+    Its pattern: 's|'t|'re|'ve|'m|'ll|'d|\\p{L}+|\\p{N}|[^\\s\\p{L}\\p{N}]+
+    """
+    n = len(codes)
+    kind = np.zeros(n + 3, np.uint8)  # white space behind the end
+    kind[:n] = kinds()[codes]
+    turn = kind[1:] != kind[:-1]
+    number, inside = kind == NUMBER, kind != SPACE
+    first = number.copy()
+    first[0] = True
+    first[1:] |= turn
+    first &= inside
+    stop = np.zeros(n + 3, bool)
+    stop[1:] = (turn | number[:-1]) & inside[:-1]
+    quotes = np.flatnonzero(codes == ord("'"))
+    quotes = quotes[first[quotes] & (kind[quotes + 1] == LETTER)]
+    if len(quotes):
+        x, y = codes[quotes + 1], codes[np.minimum(quotes + 2, n - 1)]
+        y = np.where(quotes + 2 < n, y, 0)
+        one = np.isin(x, [ord(c) for c in "stmd"])
+        two = (((x == ord("r")) | (x == ord("v"))) & (y == ord("e"))) | ((x == ord("l")) & (y == ord("l")))
+        at, size = quotes[one | two], np.where(one, 1, 2)[one | two]
+        first[at + 1] = stop[at + 1] = False
+        stop[at + 1 + size] = True
+        first[at + 1 + size] |= kind[at + 1 + size] == LETTER
+    return np.flatnonzero(first), np.flatnonzero(stop), inside[:n]
+
+
+class Words(common.WordEncoder):
+    """Ids of words as lists of strings. When the store is full, words that the batch at hand has stay in it."""
+
+    def __call__(self, own: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        rows = self.rows
+        if len(rows) + len(own) > self.limit:
+            stay = [w for w in own if w in rows]
+            at = np.fromiter(map(rows.__getitem__, stay), np.int64, len(stay))
+            starts = np.cumsum(self.sizes, dtype=np.int64) - self.sizes
+            self.flat, self.sizes = self.flat[common.gather(starts[at], self.sizes[at])], self.sizes[at]
+            rows = self.rows = dict(zip(stay, range(len(stay))))
+        new = [w for w in own if w not in rows]
+        if new:
+            sizes, flat = self.encode(new)
+            rows.update(zip(new, range(len(rows), len(rows) + len(new))))
+            self.sizes, self.flat = np.append(self.sizes, sizes), np.append(self.flat, flat)
+        at = np.fromiter(map(rows.__getitem__, own), np.int64, len(own))
+        starts = np.cumsum(self.sizes, dtype=np.int64) - self.sizes
+        return starts[at], self.sizes[at], self.flat
+
+
+@functools.lru_cache(maxsize=4)
+def store(path: str) -> Words:
+    """The worker process's own store of encoded words."""
+    return Words(path, True, HELD)
+
+
+def ids_of(codes: np.ndarray, ends: np.ndarray, coding: str, encoder: Words) -> list[bytes]:
+    """Ids (little-endian, unsigned, 32 bits) of texts of lower-case characters; each text ends, with a white space, where ``ends`` says."""
+    starts, stops, inside = cut(codes)
+    wide = codes.dtype.itemsize
+    at = np.concatenate(([0], np.cumsum(stops - starts, dtype=np.int64)))
+    chars = np.ascontiguousarray(codes[inside])
+    flat = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(starts), [None, pa.py_buffer(at * wide), pa.py_buffer(chars)])
+    word, distinct = common.coded(flat)
+    _, offsets, data = distinct.buffers() if len(distinct) else (None, np.zeros(1, np.int64), b"")
+    o = (np.frombuffer(offsets, np.int64)[distinct.offset : distinct.offset + len(distinct) + 1] // wide).tolist()
+    every = bytes(data or b"")[: o[-1] * wide].decode(coding)
+    begin, sizes, ids = encoder([every[i:j] for i, j in zip(o[:-1], o[1:])])
+    each = sizes[word]
+    total = np.concatenate(([0], np.cumsum(each, dtype=np.int64)))[np.searchsorted(starts, ends)]
+    raw = ids[common.gather(begin[word], each)].astype("<u4").tobytes()
+    return [raw[4 * i : 4 * j] for i, j in zip(np.concatenate(([0], total[:-1])).tolist(), total.tolist())]
+
+
+def encoded(texts: list[str], path: str) -> list[bytes]:
+    """Ids of whole texts: those of the first 256 characters and those of ``PLAIN`` word by word, others by the library."""
+    encoder, whole = store(path), common.tokenizer(path)
+    own_batch = getattr(whole, "encode_batch_fast", whole.encode_batch)
+    ids: list[bytes] = [b""] * len(texts)
+    narrow, wide, rest = ([], []), ([], []), []
+    for row, text in enumerate(texts):
+        if "<|" in text:  # a special string perhaps
+            rest.append(row)
+            continue
+        try:
+            narrow[1].append(text.encode("latin-1"))
+            narrow[0].append(row)
+        except UnicodeEncodeError:
+            if plain()[np.minimum(np.frombuffer(text.encode("utf-32-le"), "<u4"), BEYOND - 1)].all():
+                wide[1].append(text.lower().encode("utf-32-le"))
+                wide[0].append(row)
+            else:
+                rest.append(row)
+    for (rows, parts), space, coding, kind in ((narrow, b" ", "latin-1", np.uint8), (wide, " ".encode("utf-32-le"), "utf-32-le", np.dtype("<u4"))):
+        if not rows:
+            continue
+        codes = np.frombuffer(space.join([*parts, b""]), kind)
+        ends = np.cumsum([len(x) // codes.itemsize + 1 for x in parts])
+        for row, x in zip(rows, ids_of(lower_narrow()[codes] if coding == "latin-1" else codes, ends, coding, encoder)):
+            ids[row] = x
+    for i in range(0, len(rest), 64):
+        for row, x in zip(rest[i : i + 64], own_batch([texts[row] for row in rest[i : i + 64]], add_special_tokens=False)):
+            ids[row] = np.asarray(x.ids, "<u4").tobytes()
+    return ids
+
+
 def pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, end: int = END) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32 of every whole text's ids and the end token."""
-    text = F.coalesce("text", F.lit(""))
-    simple = (~text.rlike(BEYOND) | ~text.rlike(OTHER)) & ~F.contains(text, F.lit("<|"))  # without special strings
-    rows = docs.select("doc_id", F.when(simple, F.regexp_extract_all(F.lower(text), F.lit(PATTERN), F.lit(0))).alias("words"), F.when(~simple, text).alias("raw"))
+    rows = docs.select("doc_id", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, whole = common.word_encoder(path, plain=True), common.tokenizer(path)
-        own_batch = getattr(whole, "encode_batch_fast", whole.encode_batch)
+        last = np.asarray([end], "<u4").tobytes()
         for b in common.lean(batches):
-            lists = b["words"]
-            plain = lists.is_valid().to_numpy(zero_copy_only=False)
-            dense = lists.filter(pa.array(plain))
-            o = dense.offsets.to_numpy().astype(np.int64)
-            codes, distinct = common.coded(dense.values.slice(o[0], o[-1] - o[0]))
-            starts, sizes, flat = encoder(distinct)
-            each = sizes[codes]
-            at = np.concatenate(([0], np.cumsum(each, dtype=np.int64)))[o - o[0]]
-            data = flat[common.gather(starts[codes], each)].astype("<u4").tobytes()
-            ids: list[bytes] = [b""] * b.num_rows
-            for row, i, j in zip(np.flatnonzero(plain), at[:-1], at[1:]):
-                ids[row] = data[4 * i : 4 * j]
-            rest = np.flatnonzero(~plain)
-            for some in np.split(rest, np.arange(64, len(rest), 64)):
-                for row, x in zip(some, own_batch(b["raw"].take(pa.array(some)).to_pylist(), add_special_tokens=False)):
-                    ids[row] = np.asarray(x.ids, "<u4").tobytes()
-            last = np.asarray([end], "<u4").tobytes()
             out = []
-            for row, x in enumerate(ids):
+            for row, x in enumerate(encoded(common.strings(b["text"]).to_numpy(zero_copy_only=False).tolist(), path)):
                 x += last
                 out += [(row, k, s // 4, len(p) // 4, zlib.crc32(p)) for k, s in enumerate(range(0, len(x), 4 * capacity)) for p in (x[s : s + 4 * capacity],)]
             row, piece, start, length, crc = (np.array(c, np.int64) for c in (zip(*out) if out else [()] * 5))

@@ -1,9 +1,11 @@
 import math
 import random
+import re
 import struct
 import zlib
 from collections import Counter
 
+import numpy as np
 import public_tokenizers
 from tokenizers import Tokenizer
 
@@ -108,3 +110,29 @@ def test_every_plain_character_is_as_the_library_has_it(spark):
     got = {r.doc_id: r.ids_crc32 for r in packing.pieces(df, PATH).collect()}
     wrong = [hex(points[i]) for i, t in enumerate(texts) if got[i] != expected(i, t)[0][4]]
     assert not wrong, wrong
+
+
+def test_texts_go_whole_and_unsplit_to_the_encoder(spark):
+    df = spark.createDataFrame([(1, "it's"), (2, None)], "doc_id long, text string")
+    plan = packing.pieces(df, PATH)._jdf.queryExecution().executedPlan().toString().lower()
+    assert "mapinarrow" in plan and "regexp" not in plan and "rlike" not in plan
+
+
+def test_words_are_those_of_the_pattern():
+    rnd = random.Random(11)
+    pattern = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[^\W\d_]+|\d|(?:[^\s\w]|_)+")
+    for size in [*range(1, 7)] * 300 + [4000]:
+        text = "".join(rnd.choice("''''srtvelmdax7_!é \n ß") for _ in range(size))
+        starts, stops, inside = packing.cut(np.array([ord(c) for c in text], np.uint32))
+        assert [text[i:j] for i, j in zip(starts, stops)] == pattern.findall(text), text
+        assert inside.tolist() == [not c.isspace() for c in text]
+
+
+def test_a_full_store_keeps_the_words_at_hand():
+    own = packing.Words(PATH, True, 6)
+    asked, encode, tok = [], own.encode, Tokenizer.from_file(PATH)
+    own.encode = lambda words: asked.extend(words) or encode(words)
+    for batch in (["alpha", "beta", "gamma"], ["gamma", "beta", "delta", "épsilon"], ["delta", "zeta"], ["beta", "alpha", "zeta", "delta", "eta", "theta", "iota"]):
+        starts, sizes, flat = own(batch)
+        assert [flat[i : i + n].tolist() for i, n in zip(starts, sizes)] == [tok.encode(w, add_special_tokens=False).ids for w in batch]
+    assert asked == ["alpha", "beta", "gamma", "delta", "épsilon", "zeta", "alpha", "eta", "theta", "iota"]
