@@ -49,6 +49,8 @@ SPACE, LETTER, NUMBER, SIGN = range(4)
 BEYOND = 0x20000
 #: Most distinct words that a worker process holds with their ids.
 HELD = 400_000
+#: The store counts as full, too, when it has more ids than so many times its limit of words: long words take more room.
+IDS = 8
 
 
 class Item(NamedTuple):
@@ -167,7 +169,7 @@ class Words(common.WordEncoder):
 
     def __call__(self, own: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         rows = self.rows
-        if len(rows) + len(own) > self.limit:
+        if len(rows) + len(own) > self.limit or len(self.flat) > IDS * self.limit:
             stay = [w for w in own if w in rows]
             at = np.fromiter(map(rows.__getitem__, stay), np.int64, len(stay))
             starts = np.cumsum(self.sizes, dtype=np.int64) - self.sizes

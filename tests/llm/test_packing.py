@@ -136,3 +136,10 @@ def test_a_full_store_keeps_the_words_at_hand():
         starts, sizes, flat = own(batch)
         assert [flat[i : i + n].tolist() for i, n in zip(starts, sizes)] == [tok.encode(w, add_special_tokens=False).ids for w in batch]
     assert asked == ["alpha", "beta", "gamma", "delta", "épsilon", "zeta", "alpha", "eta", "theta", "iota"]
+
+
+def test_long_words_fill_a_store():
+    own = packing.Words(PATH, True, 10)
+    own(["q" * 900, "short"])
+    starts, sizes, flat = own(["short", "other"])
+    assert sorted(own.rows) == ["other", "short"] and len(flat) == sizes.sum() < 80
